@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, packing, sharding
 from .common import table
 
 
@@ -21,8 +20,25 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_rendezvous_shards, op7_exact_dedup)
+    f.__name__: f for f in (op2_rendezvous_shards, op5_pack_sequences, op7_exact_dedup, op10_bpe_digests)
 }
 
 SQL: dict[str, str] = {
