@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, sharding
+from . import bpe, exact_dedup, packing, secrets, sharding, url_rules
 from .common import table
 
 
+def op1_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: counts and a digest of the fixed patterns' spans, and all spans."""
+    documents = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(documents, secrets.model_from(documents, table(spark, sf_dir, "labels")))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.written_spans(F.col("base")), 256).alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over shards 0 to 39 by the key law, and where they go when shard 40 is added."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40, 1.0)
@@ -27,6 +39,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Host rules of the page filter.
+HOST_RULES = (
+    url_rules.HostRule("block", "net"),
+    url_rules.HostRule("allow", "example.net", "/en/"),
+    url_rules.HostRule("block", "example.com", "/de/"),
+    url_rules.HostRule("allow", "org", "/fr/"),
+)
+
+
+def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by host rules, else by rules mined from the labels of the documents that pages were made from (the
+    number in a page's path is the document's): a page is bad when its document has quality 0 or is toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.groupBy("doc_id").agg(F.bool_or((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    number = F.regexp_extract(url_rules.path_of(F.col("url")), r"/([0-9]{1,18})", 1)
+    source = pages.select("url", number.try_cast("long").alias("doc_id"))
+    return url_rules.judge(pages, source.join(bad, "doc_id").select("url", "bad"), HOST_RULES)
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -38,7 +69,7 @@ def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_rendezvous_shards, op5_pack_sequences, op7_exact_dedup, op10_bpe_digests)
+    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op4_url_verdicts, op5_pack_sequences, op7_exact_dedup, op10_bpe_digests)
 }
 
 SQL: dict[str, str] = {
