@@ -153,33 +153,33 @@ def snapshot(groups: DataFrame) -> Snapshot:
 def matches(groups: DataFrame, snap: Snapshot, texts: DataFrame) -> DataFrame:
     """(digest, first): groups of the new batch whose text the snapshot has, with the head it has there.
 
-    texts: (row, doc_id, text). What passes the filter joins the snapshot's groups by digest, and what joins is compared
+    texts: (doc_id, text), read again for the few documents that are compared. What passes the filter joins the snapshot's groups by digest, and what joins is compared
     byte by byte.
     """
-    mine = groups.select("bucket", "digest", F.col("head.row").alias("row"))
+    mine = groups.select("bucket", "digest", F.col("head.doc_id").alias("mine"))
     kept = mine.groupBy("bucket").cogroup(snap.filters.groupBy("bucket")).applyInArrow(_screen, mine.schema)
     pairs = kept.drop("bucket").join(snap.groups.select("digest", F.col("head").alias("first")), "digest")
     pairs = common.written(pairs, "positives")
-    both = pairs.select("row").unionByName(pairs.select(F.col("first.row").alias("row")))
-    body = texts.join(both.distinct(), "row").select("row", normalised(F.col("text")).alias("body"))
+    both = pairs.select("digest", F.col("mine").alias("id")).unionByName(pairs.select("digest", F.col("first.doc_id").alias("id")))
+    body = texts.select(F.col("doc_id").alias("at"), "text").join(both.distinct(), F.col("at").eqNullSafe(F.col("id")))
+    body = body.select("digest", "id", normalised(F.col("text")).alias("body")).where(F.unhex(F.sha2("body", 256)) == F.col("digest"))
     body = common.written(body, "bodies")
-    ours, theirs = body.withColumnRenamed("body", "a"), body.select(F.col("row").alias("other"), F.col("body").alias("b"))
-    same = pairs.withColumn("other", F.col("first.row")).join(ours, "row").join(theirs, "other").where("a = b")
-    return same.select("digest", "first")
+    ours, theirs = body.select("digest", F.col("id").alias("x"), F.col("body").alias("a")), body.select("digest", F.col("id").alias("y"), F.col("body").alias("b"))
+    same = pairs.join(ours, "digest").where(F.col("mine").eqNullSafe(F.col("x"))).join(theirs, "digest")
+    return same.where(F.col("first.doc_id").eqNullSafe(F.col("y")) & (F.col("a") == F.col("b"))).select("digest", "first").distinct()
 
 
 def dedup(documents: DataFrame, cuts: int = 2) -> DataFrame:
-    """One row per row of documents (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, and row (its number).
+    """One row per row of documents (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal texts are identical after `normalised`. The table is taken as cuts + 1 batches of ascending doc_id, as if they
     had arrived one after the other: each batch is grouped by digest, screened against the snapshots before it, and
     becomes a snapshot. Of equal texts the least doc_id stays; null doc_ids come last; of equal doc_ids just one row
     stays. Other columns are not looked at. An empty table gives an empty table.
     """
-    spark = documents.sparkSession
-    source = documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    source = documents.select("doc_id", "text")
     digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
-    rows = common.written(source.select("row", "doc_id", digest.alias("digest")), "digests")
+    rows = common.written(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest.alias("digest")), "digests")
     at = [i / (cuts + 1) for i in range(1, cuts + 1)]
     total, bounds = rows.agg(F.count("*"), F.percentile_approx("doc_id", at, 10_000)).first()
     bounds = sorted(set(bounds or []))
@@ -211,5 +211,5 @@ def dedup(documents: DataFrame, cuts: int = 2) -> DataFrame:
     out = common.join_groups(rows, every, ["batch", "digest"], "n")
     return out.select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
-        (F.col("row") == F.col("_keeper")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row",
+        (F.col("row") == F.col("_keeper")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secrets, sharding, url_rules
+from . import bpe, exact_dedup, packing, secrets, sharding, url_rules, warc
 from .common import table
 
 
@@ -29,7 +29,7 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts among all documents."""
-    return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("row")
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 def vocabulary(name: str) -> str:
@@ -63,13 +63,19 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    archives = warc.write(table(spark, sf_dir, "pages"), warc.default_folder(spark), least_bytes=0)
+    return warc.read(archives).drop("payload", "url")
+
+
 def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op4_url_verdicts, op5_pack_sequences, op7_exact_dedup, op10_bpe_digests)
+    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op4_url_verdicts, op5_pack_sequences, op7_exact_dedup, op8_warc_records, op10_bpe_digests)
 }
 
 SQL: dict[str, str] = {
