@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secrets, sharding, url_rules, warc
+from . import bpe, exact_dedup, packing, quality, secrets, sharding, url_rules, warc
 from .common import table
 
 
@@ -39,6 +39,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, by a field trained on labelled documents that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 #: Host rules of the page filter.
 HOST_RULES = (
     url_rules.HostRule("block", "net"),
@@ -75,7 +83,7 @@ def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op4_url_verdicts, op5_pack_sequences, op7_exact_dedup, op8_warc_records, op10_bpe_digests)
+    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op3_line_quality, op4_url_verdicts, op5_pack_sequences, op7_exact_dedup, op8_warc_records, op10_bpe_digests)
 }
 
 SQL: dict[str, str] = {
