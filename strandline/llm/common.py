@@ -57,17 +57,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_share: float = 0.001) -> DataFrame:
-    """rows left-joined to one group row per key, where `size` is how many rows the key has.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", hot_share: float = 0.001) -> DataFrame:
+    """rows joined (left or inner) to one group row per key, where `size` is how many rows the key has.
 
     Keys with at least `hot_share` of all rows are at most 1 / hot_share many: they are broadcast. All other keys meet
-    in a shuffle join in which no key has more than that share.
+    in a shuffle join in which no key has more than that share. groups should be a written table, as it is read three times.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     least = max(1000, int(total * hot_share))
     hot, cold = groups.where(F.col(size) >= least), groups.where(F.col(size) < least)
+    if not hot.limit(1).count():
+        return rows.join(groups, keys, how)
     other = [c for c in groups.columns if c not in keys]
     near = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     met = near.where("_hot").drop("_hot")
-    rest = near.where("_hot is null").drop("_hot", *other).join(cold, keys, "left")
+    rest = near.where("_hot is null").drop("_hot", *other).join(cold, keys, how)
     return met.unionByName(rest)

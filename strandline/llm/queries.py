@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, secrets, sharding, url_rules, warc
+from . import bpe, exact_dedup, near_dedup, packing, quality, secrets, sharding, url_rules, warc
 from .common import table
 
 
@@ -77,13 +77,18 @@ def op8_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).drop("payload", "url")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by sets of three-word shingles at a similarity of 0.85."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Rule(words=3, percent=85))
+
+
 def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op3_line_quality, op4_url_verdicts, op5_pack_sequences, op7_exact_dedup, op8_warc_records, op10_bpe_digests)
+    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op3_line_quality, op4_url_verdicts, op5_pack_sequences, op7_exact_dedup, op8_warc_records, op9_near_duplicates, op10_bpe_digests)
 }
 
 SQL: dict[str, str] = {
