@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, secrets, sharding, url_rules, warc
+from . import bpe, exact_dedup, fingerprints, near_dedup, packing, quality, secrets, sharding, url_rules, warc
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40, 1.0)
 
 
+def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts among all documents."""
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -88,7 +93,7 @@ def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op3_line_quality, op4_url_verdicts, op5_pack_sequences, op7_exact_dedup, op8_warc_records, op9_near_duplicates, op10_bpe_digests)
+    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op3_line_quality, op4_url_verdicts, op5_pack_sequences, op6_iblt_fingerprints, op7_exact_dedup, op8_warc_records, op9_near_duplicates, op10_bpe_digests)
 }
 
 SQL: dict[str, str] = {
