@@ -213,3 +213,22 @@ def dedup(documents: DataFrame, cuts: int = 2) -> DataFrame:
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
         (F.col("row") == F.col("_keeper")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def keep_first(documents: DataFrame) -> DataFrame:
+    """documents with one row of each group of equal texts, that with the least doc_id; all columns stay.
+
+    What goes is looked up by (doc_id, digest). Rows that repeat both doc_id and text are cut down to one, whichever.
+    """
+    columns = documents.columns
+    found = common.written(dedup(documents).select("doc_id", "keep_id", "kept", "text_sha256"), "verdicts")
+    gone = found.where(~F.col("kept"))
+    other = gone.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct()
+    twice = gone.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct()
+    marked = documents.withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone"))
+    out = marked.join(other, same, "left_anti")
+    if twice.limit(1).count():
+        one = out.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+        out = out.join(twice, same, "left_anti").unionByName(one)
+    return out.select(*columns)

@@ -278,3 +278,9 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
+
+
+def keep_first(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """documents without those that are linked with one of less doc_id; all columns, and rows without doc_id, stay."""
+    found = near_duplicates(documents, rule).where("doc_id <> component_id").select("doc_id").distinct()
+    return documents.join(common.written(found, "near_copies"), "doc_id", "left_anti").select(*documents.columns)

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, exact_dedup, fingerprints, near_dedup, packing, quality, secrets, sharding, url_rules, warc
-from .common import table
+from .common import table, vocabulary
 
 
 def op1_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +39,6 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, by a field trained on labelled documents that are not held out."""
     documents = table(spark, sf_dir, "documents")
@@ -93,8 +88,20 @@ def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_spans, op2_rendezvous_shards, op3_line_quality, op4_url_verdicts, op5_pack_sequences, op6_iblt_fingerprints, op7_exact_dedup, op8_warc_records, op9_near_duplicates, op10_bpe_digests)
-}
+    f.__name__: f
+    for f in (
+        op1_secret_spans,
+        op2_rendezvous_shards,
+        op3_line_quality,
+        op4_url_verdicts,
+        op5_pack_sequences,
+        op6_iblt_fingerprints,
+        op7_exact_dedup,
+        op8_warc_records,
+        op9_near_duplicates,
+        op10_bpe_digests,
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 SQL: dict[str, str] = {
     "op7_exact_dedup": r"""

@@ -166,3 +166,13 @@ def model_from(documents: DataFrame, labels: DataFrame, sample_rows: int = 200)
     ids = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
     return train(ordinary_samples(texts).unionByName(generated_samples(documents.sparkSession)))
+
+
+def redact_documents(documents: DataFrame, model: MarkovRatio | None) -> DataFrame:
+    """documents with the secrets in their texts redacted, and n_chars, if it is there, set to the new length."""
+    found = find_secrets(documents, model).withColumn("_new", redacted(F.col("text"), F.col("spans")))
+    changed = F.size("spans") > 0
+    named = {"text": F.col("_new")}
+    if "n_chars" in documents.columns:
+        named["n_chars"] = F.when(changed, F.length("_new")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
+    return found.select(*[named.get(c, F.col(c)).alias(c) for c in documents.columns])
