@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from . import common
 from .words import chunks, mix, shingles
 
-#: Members of a component that are compared in one task.
-BLOCK = 256
+#: Documents that are compared with one another in one task.
+BLOCK = 512
+#: Partners of one document that are verified in one task.
+FAN = 256
 
 
 @dataclass(frozen=True)
@@ -128,7 +130,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (x, y) whose whole sets pass the rule. A y with very many partners is dealt out over several tasks, each
     with a copy of its set."""
-    fan = common.written(pairs.groupBy("y").agg(F.count("*").alias("n")).withColumn("fan", F.ceil(F.col("n") / BLOCK).cast("int")), "fan")
+    fan = common.written(pairs.groupBy("y").agg(F.count("*").alias("n")).withColumn("fan", F.ceil(F.col("n") / FAN).cast("int")), "fan")
     dealt = common.join_groups(pairs, fan, ["y"], "n").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("fan")).cast("int")).drop("n", "fan")
     ours = sets.select(F.col("id").alias("x"), F.col("items").alias("xs"))
     theirs = sets.join(fan, sets["id"] == fan["y"]).select("y", F.col("items").alias("ys"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
@@ -180,67 +182,71 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared, shared.where("id <> y").select(F.col("id").alias("x"), "y").distinct()
 
 
-def outsiders(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(x, label): documents that share a key with a member of another component `label`, for keys of three or more ids (of
-    two, the star was all there is). Of two components the one with more members is compared against."""
-    known = labels.withColumnRenamed("node", "id")
-    full = shared.where("c > 2").select("key", "id", "c").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = full.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    mixed = common.written(mixed.select("key", "c"), "mixed")
-    rows = common.written(common.join_groups(full.drop("c"), mixed, ["key"], "c", how="inner"), "unsettled")
-    return rows
-
+def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, label, c) of keys of three or more ids (of two, the star was all there is) from more than one component.
 
-def compared(shared: DataFrame, labels: DataFrame, sets_of, rule: Rule) -> DataFrame:
-    """(x, y): further links between components that the stars left apart, one per document and component at most.
-
-    A pair of linked documents shares a key. If neither is the key's least id, the star has not compared them. So each
-    document that shares a key with another component is compared with all members of that component, BLOCK members to a
-    task; once it is linked with one of them it belongs to the component and the others need no link of their own.
+    Keys that have the very same ids are taken once: they are known by two exclusive ors of their ids' hashes.
     """
-    rows = outsiders(shared, labels)
-    size = rows.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("members"))
-    there = rows.groupBy("key", "label").agg(F.count("*").alias("_n"))
-    mine, other = rows.join(size, "label"), there.join(size, "label")
-    pairs = mine.alias("m").join(other.alias("o"), "key").where(
-        "m.label <> o.label and (m.members < o.members or (m.members = o.members and m.label > o.label))"
-    )
-    pairs = common.written(pairs.select(F.col("m.id").alias("x"), F.col("o.label").alias("label")).distinct(), "outside")
-    if not pairs.limit(1).count():
-        return pairs.select("x", F.col("label").alias("y")).limit(0)
-    wanted = pairs.select("label").distinct()
-    members = rows.select("id", "label").distinct().join(wanted, "label").join(size, "label")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)).cast("int"))
-    sets = sets_of(pairs.select(F.col("x").alias("id")).unionByName(members.select("id")).distinct())
-    inside = members.join(sets, "id").select("label", "block", "id", "items", F.lit(True).alias("member"))
-    spread = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("members") / BLOCK) - 1).cast("int"))).alias("block")
-    outside = pairs.join(size, "label").withColumnRenamed("x", "id").join(sets, "id").select("label", spread, "id", "items", F.lit(False).alias("member"))
+    known = labels.withColumnRenamed("node", "id")
+    full = shared.where("c > 2").select("key", "id").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    keys = full.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"),
+        F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("q"),
+    ).where("lo <> hi")
+    keys = common.written(keys.groupBy("c", "p", "q").agg(F.min("key").alias("key")).select("key", "c"), "mixed_keys")
+    return common.written(common.join_groups(full, keys, ["key"], "c", how="inner"), "unsettled")
+
+
+def compared(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(x, y): the links that join components inside the keys of rows (key, id, label, c); at most one per id and key.
+
+    Linked documents share a key, and where neither is the key's least id the star has not compared them. The ids of a key
+    are dealt into blocks of about BLOCK; those outside the key's largest component visit every block. In a block, shared
+    shingles are counted through an inverted index of its members, so pairs are compared but never written down, and only
+    a link that joins two components is returned.
+    """
+    largest = rows.where(F.col("c") > BLOCK).groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = largest.groupBy("key").agg(F.max(F.struct("n", "label")).alias("_m")).select("key", F.col("_m.label").alias("main"))
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = rows.join(largest, "key", "left").withColumn("blocks", blocks)
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    visits = F.when((F.col("blocks") > 1) & (F.col("label") != F.col("main")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
+    dealt = dealt.select("key", "id", "label", "main", "home", F.explode(visits).alias("block"))
+    full = dealt.join(sets, "id").select("key", "block", "id", "label", "main", (F.col("home") == F.col("block")).alias("member"), "items")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """Counts shared shingles through an inverted index of the block's members."""
-        ids, member = rows["id"].to_pylist(), rows["member"].to_pylist()
+        ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"]]
-        own = [i for i, m in enumerate(member) if m]
-        sizes = np.array([len(items[i]) for i in own])
-        flat = np.concatenate([items[i] for i in own]) if own else np.zeros(0, np.uint64)
-        who = np.repeat(np.arange(len(own)), sizes)
+        own = np.flatnonzero(rows["member"].to_numpy(zero_copy_only=False))
+        sizes = np.array([len(items[i]) for i in own], np.int64)
+        flat, who = np.concatenate([items[i] for i in own] or [np.zeros(0, np.uint64)]), np.repeat(np.arange(len(own)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
+        names, counts = np.unique(labels, return_counts=True)
+        known = rows["main"][0].as_py()  # of a key in one block, it is found here
+        main, root = names[counts.argmax()] if known is None else known, {int(v): int(v) for v in names}
+
+        def find(a: int) -> int:
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            return a
+
         x, y = [], []
-        for i, m in enumerate(member):
-            if m or not own:
-                continue
+        for i in np.flatnonzero(labels != main):
             lo, hi = np.searchsorted(flat, items[i], "left"), np.searchsorted(flat, items[i], "right")
             n = hi - lo
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            shared = np.bincount(who[at], minlength=len(own))
-            hit = np.flatnonzero((shared > 0) & (100 * shared >= rule.percent * (sizes + len(items[i]) - shared)))
-            if len(hit):
-                x.append(ids[i])
-                y.append(ids[own[int(hit[0])]])
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(who[at], minlength=len(own))
+            hits = np.flatnonzero((both > 0) & (100 * both >= rule.percent * (sizes + len(items[i]) - both)) & (labels[own] != labels[i]))
+            for k in hits:
+                a, b = find(int(labels[i])), find(int(labels[own[k]]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    x.append(int(ids[i]))
+                    y.append(int(ids[own[k]]))
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
-    return inside.unionByName(outside).groupBy("label", "block").applyInArrow(run, "x long, y long")
+    return full.groupBy("key", "block").applyInArrow(run, "x long, y long")
 
 
 def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -268,7 +274,8 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     ends = stars.select(F.col("x").alias("id")).unionByName(stars.select(F.col("y").alias("id"))).distinct()
     links = common.written(verified(stars, sets_of(ends), rule), "verified")
     labels = components(links)
-    more = common.written(compared(shared, labels, sets_of, rule), "more")
+    open_rows = unsettled(shared, labels)
+    more = common.written(compared(open_rows, sets_of(open_rows.select("id").distinct()), rule), "more")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     final = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")

@@ -79,7 +79,7 @@ def op8_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by sets of three-word shingles at a similarity of 0.85."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Rule(words=3, percent=85))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Rule(words=3, percent=85, bands=28, width=5))
 
 
 def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
