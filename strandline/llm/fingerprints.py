@@ -189,11 +189,11 @@ def with_next(documents: DataFrame) -> DataFrame:
     tie = F.xxhash64("text")
     first = rows.select(F.col("_at").alias("_want"), "text", tie.alias("_tie")).join(F.broadcast(wanted), "_want")
     first = first.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy("_tie"))).where("_n = 1")
-    first = common.written(first.select("_bucket", F.lit(True).alias("_last"), F.col("text").alias("_below")), "bucket_next")
+    first = common.written(first.select("_bucket", F.col("text").alias("_below")), "bucket_next")
     own = Window.partitionBy("_bucket").orderBy(F.col("_at").desc(), F.xxhash64("text"))
     seen = rows.select("doc_id", "text", "_at", "_bucket").withColumn("_next", F.lead("text").over(own))
-    seen = seen.withColumn("_last", F.col("_next").isNull())
-    return seen.join(first, ["_bucket", "_last"], "left").select("doc_id", "text", F.coalesce("_next", "_below").alias("next_text"))
+    # The window has dealt the rows by bucket already, so this join moves the small table only.
+    return seen.join(first, "_bucket", "left").select("doc_id", "text", F.coalesce("_next", "_below").alias("next_text"))
 
 
 def edited(text: Column, other: Column) -> Column:
