@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Registers the queries of all plan modules."""
+    from . import streams, tiles  # noqa: F401
+
+
+load()
