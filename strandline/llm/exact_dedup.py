@@ -223,12 +223,13 @@ def keep_first(documents: DataFrame) -> DataFrame:
     columns = documents.columns
     found = common.written(dedup(documents).select("doc_id", "keep_id", "kept", "text_sha256"), "verdicts")
     gone = found.where(~F.col("kept"))
-    other = gone.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct()
-    twice = gone.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct()
-    marked = documents.withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone"))
+    key = [F.col("doc_id").alias("_strandline_id"), F.col("text_sha256").alias("_strandline_gone")]
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    other, twice = gone.where(~again).select(*key).distinct(), gone.where(again).select(*key).distinct()
+    marked = documents.withColumn("_strandline_digest", F.sha2(normalised(F.col("text")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_strandline_id")) & (F.col("_strandline_digest") == F.col("_strandline_gone"))
     out = marked.join(other, same, "left_anti")
     if twice.limit(1).count():
-        one = out.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+        one = out.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_strandline_digest"])
         out = out.join(twice, same, "left_anti").unionByName(one)
     return out.select(*columns)

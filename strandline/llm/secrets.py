@@ -170,9 +170,11 @@ def model_from(documents: DataFrame, labels: DataFrame, sample_rows: int = 200)
 
 def redact_documents(documents: DataFrame, model: MarkovRatio | None) -> DataFrame:
     """documents with the secrets in their texts redacted, and n_chars, if it is there, set to the new length."""
-    found = find_secrets(documents, model).withColumn("_new", redacted(F.col("text"), F.col("spans")))
-    changed = F.size("spans") > 0
-    named = {"text": F.col("_new")}
+    whole = documents.select("text", F.struct(*documents.columns).alias("_document"))
+    found = find_secrets(whole, model).withColumn("_redacted", redacted(F.col("text"), F.col("spans")))
+    field = lambda c: F.col("_document").getField(c)
+    named = {"text": F.col("_redacted")}
     if "n_chars" in documents.columns:
-        named["n_chars"] = F.when(changed, F.length("_new")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
-    return found.select(*[named.get(c, F.col(c)).alias(c) for c in documents.columns])
+        length = F.when(F.size("spans") > 0, F.length("_redacted")).otherwise(field("n_chars"))
+        named["n_chars"] = length.cast(documents.schema["n_chars"].dataType)
+    return found.select(*[named.get(c, field(c)).alias(c) for c in documents.columns])

@@ -129,14 +129,14 @@ def read_archive(path: str, chunk: int = 1 << 20) -> Iterator[Record]:
                 pending += f.read(chunk)
             shared, pending = zstandard.ZstdCompressionDict(pending[8 : 8 + size]), pending[8 + size :]
         unpacker = zstandard.ZstdDecompressor(dict_data=shared)
-        one, out = unpacker.decompressobj(), []
+        one, out, begun = unpacker.decompressobj(), [], False
         while pending or (pending := f.read(chunk)):
             out.append(one.decompress(pending))
-            pending = b""
+            pending, begun = b"", True
             if one.eof:
                 yield Record.from_bytes(b"".join(out))
-                pending, one, out = one.unused_data, unpacker.decompressobj(), []
-        if b"".join(out):
+                pending, one, out, begun = one.unused_data, unpacker.decompressobj(), [], False
+        if begun:
             raise ValueError(f"{path} ends inside a record")
 
 

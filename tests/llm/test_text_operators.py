@@ -1,0 +1,239 @@
+"""Secrets, sharding, packing, coding, quality and fingerprints against plain Python."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.llm import bpe, fingerprints, packing, quality, secrets, sharding
+from strandline.llm.common import vocabulary
+
+SPAN_RULES = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+)
+
+
+def plain_spans(text):
+    out = []
+    for k, (_, pattern, group, least) in enumerate(SPAN_RULES):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.A) if len(m.group(group)) >= least]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def model(spark, documents, labels):
+    return secrets.model_from(documents, labels)
+
+
+def test_base_spans_are_those_of_the_patterns(documents, model):
+    found = secrets.find_secrets(documents, model).select("doc_id", "text", "base", "spans").collect()
+    assert len(found) == documents.count()
+    for r in found:
+        want = plain_spans(r.text or "")
+        assert [tuple(s) for s in r.base] == want
+        assert set(want) <= {tuple(s) for s in r.spans}
+
+
+def test_random_strings_are_added_and_words_are_not(spark):
+    prose = "interesting words of the nation retain their notion in a thing that touches one or several rational sections"
+    ordinary = secrets.ordinary_samples(spark.createDataFrame([(prose,)], "text string"))
+    model = secrets.train(ordinary.unionByName(secrets.generated_samples(spark, 300)))
+    texts = ["say aZ3kQ9xT0pLm2vB8nR5wYc7D now", "retiontionthontiing-interesting-words-2024", "TIONANOUCHTIONELLEABC", "a" * 50000, "q7Zx" * 3]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans if s.kind == 3] for r in secrets.find_secrets(df, model).collect()}
+    assert [(s.start, s.end) for s in got[0]] == [(4, 28)]
+    assert not any(got[k] for k in (1, 2, 3, 4))
+    score = df.select(secrets.score_of(F.col("text"), model).alias("s")).collect()
+    assert [round(r.s, 6) for r in score] == [round(model.score(t), 6) for t in texts]
+
+
+def test_redaction_leaves_no_span_and_all_else(documents, model):
+    before = {(r.doc_id, r.text): r for r in documents.collect()}
+    after = secrets.redact_documents(documents, model)
+    assert after.columns == documents.columns and after.count() == documents.count()
+    for r in after.collect():
+        assert r.shard == "a" and r.base == "d" and r.n_chars == len(r.text or "")
+        if "[SECRET]" in (r.text or ""):
+            assert not plain_spans(r.text)
+        else:
+            assert (r.doc_id, r.text) in before
+    assert sum("[SECRET]" in (r.text or "") for r in after.collect()) == 3
+
+
+def test_no_samples_no_model(spark):
+    empty = spark.createDataFrame([], "text string, random boolean")
+    assert secrets.train(empty) is None
+    df = spark.createDataFrame([(1, "aZ3kQ9xT0pLm2vB8nR5wYc7D")], "doc_id long, text string")
+    assert secrets.find_secrets(df, None).first().spans == []
+
+
+def test_shards_follow_the_key_and_grow_into_the_new_one(spark, documents):
+    got = sharding.shard_documents(documents).collect()
+    texts = defaultdict(list)
+    for r in documents.collect():
+        texts[r.doc_id].append((r.text or "").encode())
+    for r in got:
+        assert r.law == "key" and 0 <= r.shard < 40 and r.grown_shard in (r.shard, 40)
+        assert (r.size, r.text_crc32) in [(len(t) + 16, zlib.crc32(t)) for t in texts[r.doc_id]]
+    assert len({(r.doc_id, r.shard) for r in got}) == len(texts)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    ids = spark.range(20000).withColumnRenamed("id", "doc_id")
+    a = {r.doc_id: r for r in sharding.rendezvous(ids, "doc_id", [1.0] * 9 + [3.0], 1.0).collect()}
+    b = {r.doc_id: r.shard for r in sharding.rendezvous(ids, "doc_id", [1.0] * 9 + [3.0, 1.0]).collect()}
+    assert {k: r.grown_shard for k, r in a.items()} == b
+    assert 0.23 < sum(r.shard == 9 for r in a.values()) / 20000 < 0.27 and 0.06 < sum(s == 10 for s in b.values()) / 20000 < 0.09
+
+
+def test_pieces_hold_every_id_once(documents):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    got = packing.pack(documents, path, length=256, open_windows=3).collect()
+    want = sorted((zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)) for ids in (t.encode(r.text or "", add_special_tokens=False).ids + [1] for r in documents.collect()))
+    whole = sorted((r.ids_crc32, r.length) for r in got if r.length == r.doc_tokens)
+    assert whole == [w for w in want if w[1] <= 256]
+    assert sum(r.length for r in got) == sum(n for _, n in want)
+    long = next(r for r in documents.collect() if r.doc_id == 10)
+    ids = t.encode(long.text, add_special_tokens=False).ids + [1]
+    for r in (r for r in got if r.doc_id == 10):
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for v in places.values():
+        at = 0
+        for offset, n in sorted(v):
+            assert offset == at
+            at += n
+        assert at <= 256
+
+
+def test_windows_emit_the_fullest():
+    w = packing.Windows(10, 2)
+    assert [w.place(n) for n in (6, 7, 4, 5)] == [(0, 0), (1, 0), (0, 6), (2, 0)]
+    assert w.place(9) == (3, 0) and [x for _, x in w.open] == [3, 2]
+
+
+def test_words_are_coded_as_the_library_does(documents):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    extra = ["ab" * 2000, "\x1c\x1dodd\x85space", "ΣΑΣ ΟΔΟΣ", "İstanbul", "é", "a<|startoftext|>b", "<|endoftext|"]
+    for text in [r.text or "" for r in documents.collect()] + extra:
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == ids and own.decode(ids) == t.decode(ids, skip_special_tokens=False)
+    got = bpe.digest_documents(documents, path).collect()
+    want = []
+    for r in documents.collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_long_and_short_words_merge_alike():
+    own = bpe.WordBpe(vocabulary("word_bpe_49k.json"))
+    word = ("interestingly" * 20).encode()
+    start = [own.inner[b] for b in word[:-1]] + [own.last[word[-1]]]
+    short, bpe.SHORT = bpe.SHORT, 1 << 30
+    try:
+        scanned = own.merge(list(start))
+    finally:
+        bpe.SHORT = short
+    assert own._merge_long(list(start)) == scanned
+
+
+def test_chain_sums_are_those_of_all_labelings():
+    rng = np.random.default_rng(1)
+    own, move = rng.normal(size=(7, 2)), rng.normal(size=(2, 2))
+    at, length = np.array([0, 4]), np.array([4, 3])
+    ahead, behind, z = quality.chain_sums(own, move, at, length)
+    for k, (a, n) in enumerate(zip(at, length)):
+        total, good = 0.0, np.zeros(n)
+        for code in range(2**n):
+            y = [code >> i & 1 for i in range(n)]
+            w = np.exp(sum(own[a + i, y[i]] for i in range(n)) + sum(move[y[i - 1], y[i]] for i in range(1, n)))
+            total += w
+            good += w * np.array(y)
+        assert np.isclose(z[k], np.log(total))
+        joint = ahead[a : a + n] + behind[a : a + n]
+        assert np.allclose(np.exp(joint[:, 1] - z[k]), good / total)
+
+
+def test_lines_keep_to_their_texts():
+    import pyarrow as pa
+
+    from strandline.llm.words import chunks
+
+    texts = ["a\nb", "", None, "\n", "x\n\ny z", ""]
+    (t,) = list(chunks(pa.array(texts)))
+    start, end, doc = quality.lines(t)
+    got = defaultdict(list)
+    for a, b, d in zip(start, end, doc):
+        got[int(d)].append(t.data[a:b].tobytes().decode())
+    assert [got[k] for k in range(6)] == [(x or "").split("\n") for x in texts]
+
+
+def test_scores_cover_all_rows(spark, documents, labels):
+    field = quality.train(documents, labels)
+    got = quality.score_documents(documents, field).collect()
+    assert len(got) == documents.count() and all(0 <= r.score <= 1 for r in got)
+    assert all(r.score == 0.5 for r in quality.score_documents(documents, None).collect())
+    assert quality.train(documents, labels.limit(0)) is None
+    kept = quality.keep_good(documents, labels)
+    assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} >= {7, 8, 9, 10, 20}
+
+
+def test_held_out_accuracy(spark):
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.score_documents(docs, quality.train(docs, labels)).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in scored)
+    assert sum((r.score >= 0.3) == (r.quality == 1) for r in scored) / len(scored) >= 0.95
+
+
+def test_fingerprints_tell_what_differs(documents):
+    got = fingerprints.fingerprint_documents(documents).collect()
+    rows = sorted(documents.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0), reverse=True)
+    assert len(got) == len(rows)
+    known = {}
+    parts = lambda t: set(re.findall(rf"[^\n]{{1,{fingerprints.PARAGRAPH}}}", t))
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    of = defaultdict(list)
+    for r in got:
+        of[r.doc_id].append(r)
+    for k, r in enumerate(rows):
+        nxt, text = rows[(k + 1) % len(rows)].text or "", r.text or ""
+        if r.doc_id in (None, 8) or rows[(k + 1) % len(rows)].doc_id in (None, 8):
+            continue  # ties are broken by hash
+        n = len(text) // 3
+        edit = text[: len(text) - n] + nxt[:n]
+        (g,) = of[r.doc_id]
+        assert (g.n_chars, g.edited_sha256) == (len(text), hashlib.sha256(edit.encode()).hexdigest())
+        assert g.near_edited == pytest.approx(like(parts(text), parts(edit))) and g.near_next == pytest.approx(like(parts(text), parts(nxt)))
+        assert known.setdefault(text, g.fingerprint) == g.fingerprint
+    assert len(set(known.values())) == len({frozenset(parts(t)) for t in known})
+
+
+def test_empty_tables(spark, documents, labels):
+    none = documents.limit(0)
+    assert fingerprints.fingerprint_documents(none).count() == 0
+    assert sharding.shard_documents(none).count() == 0
+    assert packing.pack(none, vocabulary("byte_bpe_50k.json")).count() == 0
+    assert bpe.digest_documents(none, vocabulary("word_bpe_49k.json")).count() == 0
+    assert secrets.find_secrets(none, secrets.model_from(none, labels)).count() == 0
+    assert quality.keep_good(none, labels).count() == 0
