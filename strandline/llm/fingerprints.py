@@ -166,10 +166,12 @@ def with_next(documents: DataFrame) -> DataFrame:
     what makes MOST_BUCKETS of them: that bounds the table, so it is broadcast. Null doc_ids come last; rows of equal
     doc_id come in order of their texts' hashes, all in one bucket.
     """
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("_at"))
-    total, bounds = rows.agg(F.count("*"), F.percentile_approx("_at", [i / RANGES for i in range(RANGES + 1)], 10_000)).first()
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    total, least, bounds = rows.agg(F.count("*"), F.coalesce(F.min("doc_id"), F.lit(0)), F.percentile_approx("doc_id", [i / RANGES for i in range(RANGES + 1)], 10_000)).first()
     if not total:
         return rows.select("doc_id", "text", F.lit("").alias("next_text"))
+    rows = rows.withColumn("_at", F.coalesce("doc_id", F.lit(least - 1).cast("long")))
+    bounds = [least - 1, *(bounds or [])]
     low = sorted(set(bounds))[:-1] or [bounds[0]]
     high = max(bounds)
     ends = [*low[1:], high + 1]

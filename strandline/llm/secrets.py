@@ -33,8 +33,9 @@ class MarkovRatio:
         return sum(self.table[a * SIDE + b] for a, b in zip(at, at[1:])) / max(1, len(at) - 1)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> MarkovRatio | None:
-    """A model from labelled samples (text, random boolean): transition counts of both classes, smoothed.
+def train(samples: DataFrame, backoff: float = 5.0) -> MarkovRatio | None:
+    """A model from labelled samples (text, random boolean): transition counts of both classes. To a character's transitions
+    `backoff` more are added as its class's characters are distributed, and to those half of one each.
 
     Counting is one aggregation over all samples; only the counts, at most 2 * SIDE ** 2 numbers, reach the driver. None
     if a class has no sample: then nothing can be compared. Null texts or labels are no samples.
@@ -43,16 +44,20 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> MarkovRatio | None:
     pairs = samples.where("text is not null and random is not null").select("random", F.explode(F.arrays_zip(chars.alias("a"), F.slice(chars, 2, F.length("text")).alias("b"))).alias("p"))
     at = lambda c: F.coalesce(F.instr(F.lit(ALPHABET), c), F.lit(0))
     counted = pairs.where("p.a is not null and p.b is not null and p.a <> '' and p.b <> ''").groupBy("random", at(F.col("p.a")).alias("a"), at(F.col("p.b")).alias("b")).count()
-    counts = {True: [smoothing] * SIDE**2, False: [smoothing] * SIDE**2}
+    counts = {True: [0.0] * SIDE**2, False: [0.0] * SIDE**2}
     seen = set()
     for random, a, b, n in counted.collect():
         counts[random][a * SIDE + b] += n
         seen.add(random)
     if len(seen) < 2:
         return None
-    total = {k: [sum(v[a * SIDE : (a + 1) * SIDE]) for a in range(SIDE)] for k, v in counts.items()}
-    log = lambda k, i: math.log(counts[k][i] / total[k][i // SIDE])
-    return MarkovRatio(tuple(round(log(True, i) - log(False, i), 6) for i in range(SIDE**2)))
+    for n in counts.values():
+        seen_b = [0.5 + sum(n[b::SIDE]) for b in range(SIDE)]
+        share = [backoff * x / sum(seen_b) for x in seen_b]
+        for a in range(SIDE):
+            row = [x + y for x, y in zip(n[a * SIDE : (a + 1) * SIDE], share)]
+            n[a * SIDE : (a + 1) * SIDE] = [math.log(x / sum(row)) for x in row]
+    return MarkovRatio(tuple(round(a - b, 6) for a, b in zip(counts[True], counts[False])))
 
 
 def generated_samples(spark, rows: int = 2000) -> DataFrame:
