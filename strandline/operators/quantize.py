@@ -125,13 +125,14 @@ def greedy_pruned(counts: DataFrame, width: int, cutoff: int) -> DataFrame:
     """
     pairs = near_pairs(counts.select("id", "mask"), cutoff, width)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(counts.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    near = both.groupBy("a").agg(F.min("b").alias("c"))
-    for _ in range(16):
+    context = counts.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("/tmp/checkpoints")
+    near, moved = both.groupBy("a").agg(F.min("b").alias("c")).checkpoint(), True
+    while moved:
         step = both.join(near.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("c")).checkpoint()
-        moved = step.join(near.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count()
+        moved = step.join(near.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count() > 0
         near = step
-        if not moved:
-            break
     rows = counts.join(near.select(F.col("a").alias("id"), F.col("c").alias("component")), "id")
 
     def run(group):
