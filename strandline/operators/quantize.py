@@ -117,15 +117,10 @@ def pruned(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     return n.join(gone, "id", "left_anti")
 
 
-def greedy_pruned(counts: DataFrame, width: int, cutoff: int) -> DataFrame:
-    """(id, n) that stay when ids are taken by falling n (then rising id) and one goes that is near one that stayed.
-
-    Order decides, so each component of near pairs is pruned on its own: components are independent, and run in parallel.
-    counts: (id, mask, n). The frequency order is inside a component only.
-    """
-    pairs = near_pairs(counts.select("id", "mask"), cutoff, width)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(counts.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    context = counts.sparkSession.sparkContext
+def near_components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, component): what near pairs (a, b) hold together, for all ids (id)."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(ids.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    context = ids.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir("/tmp/checkpoints")
     near, moved = both.groupBy("a").agg(F.min("b").alias("c")).checkpoint(), True
@@ -133,16 +128,38 @@ def greedy_pruned(counts: DataFrame, width: int, cutoff: int) -> DataFrame:
         step = both.join(near.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("c")).checkpoint()
         moved = step.join(near.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count() > 0
         near = step
-    rows = counts.join(near.select(F.col("a").alias("id"), F.col("c").alias("component")), "id")
+    return near.select(F.col("a").alias("id"), F.col("c").alias("component"))
+
+
+def first_match(masks_: DataFrame, order: list, width: int, cutoff: int) -> DataFrame:
+    """(id, kept): masks (id, mask, ..) are taken in order, and each becomes the first kept one that differs from it in fewer
+    than `cutoff` places, or is kept itself.
+
+    Order decides, so each component of near pairs is walked on its own: components don't touch, and run in parallel.
+    """
+    pairs = near_pairs(masks_.select("id", "mask"), cutoff, width)
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(*order))
+    rows = masks_.join(near_components(pairs, masks_), "id").withColumn("_rank", rank).select("id", "mask", "component", "_rank")
 
     def run(group):
-        kept: list[tuple] = []
-        for r in group.sort_values(["n", "id"], ascending=[False, True]).itertuples():
-            if all(sum(x != y for x, y in zip(r.mask, k.mask)) >= cutoff for k in kept):
-                kept.append(r)
-        return group[group["id"].isin([k.id for k in kept])][["id", "n"]]
+        group = group.sort_values("_rank")
+        kept: list[tuple[int, str]] = []
+        out = []
+        for i, mask in zip(group["id"], group["mask"]):
+            hit = next((k for k, m in kept if sum(x != y for x, y in zip(mask, m)) < cutoff), None)
+            if hit is None:
+                kept.append((i, mask))
+            out.append(i if hit is None else hit)
+        return group[["id"]].assign(kept=out)
+
+    return rows.groupBy("component").applyInPandas(run, "id long, kept long")
 
-    return rows.groupBy("component").applyInPandas(run, "id long, n long")
+
+def greedy_pruned(counts: DataFrame, width: int, cutoff: int) -> DataFrame:
+    """(id, n) of counts (id, mask, n) that stay when they are taken by falling n, then rising id, and one goes that is near
+    one that stayed."""
+    kept = first_match(counts, [F.desc("n"), F.asc("id")], width, cutoff).where("id = kept").select("id")
+    return counts.select("id", "n").join(kept, "id")
 
 
 def least_used(usage: DataFrame, k: int) -> DataFrame:
