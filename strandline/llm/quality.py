@@ -28,7 +28,7 @@ _CLASSES = {
     "letters": [*range(65, 91), *range(97, 123), *range(0x80, 0x100)], "capitals": [*range(65, 91)], "digits": [*range(48, 58)], "spaces": [0x20, 9, 11, 12, 13],
     "stops": [*b".,;:?'\"()-"], "loud": [*b"!"], "bars": [*b"|"], "symbols": [*b"*$&%#@^~=_<>{}[]\\/+"], "beyond_ascii": [*range(0x80, 0x100)],
 }
-_IS = {k: np.isin(np.arange(256), v).astype(np.int64) for k, v in _CLASSES.items()}
+_IS = {k: np.isin(np.arange(256), v).astype(np.int32) for k, v in _CLASSES.items()}
 
 
 def lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +56,8 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own[:, 0] = np.log1p(size) / 5
     for k, name in enumerate(NAMES):
         if name in _IS:
-            total = np.concatenate([[0], np.cumsum(_IS[name][texts.data])])
+            total = np.zeros(len(texts.data) + 1, np.int32)
+            np.cumsum(_IS[name][texts.data], out=total[1:])
             own[:, k] = (total[end] - total[start]) / safe
     first, last, hashed = words(texts)
     if len(first):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are worked on together; a longer text is worked on alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: The hash's base, odd, and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
