@@ -21,7 +21,7 @@ NEVER = 1 << 60
 REMEMBERED = 250_000
 
 # Fixed values of the vocabulary's file format: white space of the normaliser, and the pattern that finds words.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+"
 
 

@@ -43,7 +43,7 @@ class ByteTokenizer:
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.path, self._exact = path, None
         self._fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self._other = regex.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‘-”…]")
+        self._other = regex.compile("[^\x00-\x1b\x20-\x84\x86-\u024f\u2018-\u201d\u2026]")
 
     def exact(self, text: str) -> np.ndarray:
         if self._exact is None:
