@@ -13,8 +13,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
-#: Of a run that is no longer than this, nothing can be said.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Of a run that is shorter than this, nothing is said: in sf0.1 the longest ordinary run that scores as random has 10.
+LEAST = 13
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
 
@@ -68,10 +69,14 @@ def generated_samples(spark, rows: int = 2000) -> DataFrame:
 
 
 def ordinary_samples(texts: DataFrame) -> DataFrame:
-    """Identifiers, (text, random = false), made of the words of texts (text): as they are, in capitals, joined and numbered."""
+    """Identifiers, (text, random = false), made of the words of texts (text): as they are, in capitals, joined with and
+    without a mark between them, numbered, dated, and between rules of one repeated mark."""
     word = texts.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("length(w) >= 2")
     number = F.pmod(F.xxhash64("w"), F.lit(2100)).cast("string")
     forms = [F.col("w"), F.upper("w"), F.concat_ws("_", "w", F.lower("w")), F.concat_ws("-", F.lower("w"), "w"), F.concat_ws("/", "w", F.concat("w", number))]
+    # What has no digit or no letter is judged as well, so the class also knows joined capitals, dates and rules.
+    forms += [F.concat(F.lower("w"), F.initcap("w"), F.initcap(F.substring("w", 2, 99))), F.concat_ws("_", F.upper("w"), F.upper("w")), F.concat_ws("-", number, F.reverse(number), number), F.concat_ws("T", number, number)]
+    forms += [F.concat(F.repeat(F.lit(c), 3), "w", F.repeat(F.lit(c), 3)) for c in "+/_=-"]
     return word.select(F.explode(F.array(*forms)).alias("text"), F.lit(False).alias("random"))
 
 
@@ -126,8 +131,7 @@ def find_secrets(documents: DataFrame, model: MarkovRatio | None, margin: float
     """documents (doc_id, text, ...) with `base` and `spans`: arrays of (start, kind, end), code points, end exclusive.
 
     kind is a place in KINDS. `base` has the fixed patterns' spans; `spans` has those and, of kind random, the runs of
-    CANDIDATE that hold a letter and a digit, overlap no base span, and whose mean log-likelihood ratio is at least
-    `margin`. Null and empty texts have none. No shuffle and no Python; columns named base or spans are replaced.
+    CANDIDATE that overlap no base span and whose mean log-likelihood ratio is at least `margin`. Null and empty texts have none. No shuffle and no Python; columns named base or spans are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = documents.drop("base", "spans").withColumn("base", base_spans(text))
@@ -139,8 +143,7 @@ def find_secrets(documents: DataFrame, model: MarkovRatio | None, margin: float
     )
     out = out.withColumn("_more", likely)
     token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
-    more = F.filter("_more", lambda s: mixed(token(s)) & (score_of(token(s), model) >= margin))
+    more = F.filter("_more", lambda s: score_of(token(s), model) >= margin)
     return out.withColumn("spans", F.when(F.size("_more") > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base"))).drop("_more")
 
 

@@ -53,6 +53,17 @@ def test_random_strings_are_added_and_words_are_not(spark):
     assert [round(r.s, 6) for r in score] == [round(model.score(t), 6) for t in texts]
 
 
+def test_short_keys_and_keys_without_digits_are_found(spark):
+    prose = "interesting words of the nation retain their notion in a thing that touches one or several rational sections"
+    ordinary = secrets.ordinary_samples(spark.createDataFrame([(prose,)], "text string"))
+    model = secrets.train(ordinary.unionByName(secrets.generated_samples(spark, 300)))
+    keys = ["aZ3kQ9xT0pLm2vB8", "Xq7RfZ2kWv9Jt", "QxZkVbJwTfYqHgXrDpLzKm", "xGqZKvWjPbXyTRfQ"]
+    others = ["interestingRationalSections", "WORDS_OF_NATION_THING", "-" * 40, "_" * 20, "2024-01-01-12-30-00"]
+    df = spark.createDataFrame([(k, f"say {t} now") for k, t in enumerate(keys + others)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(df, model).collect()}
+    assert got == {k: [(4, 3, 4 + len(t))] if t in keys else [] for k, t in enumerate(keys + others)}
+
+
 def test_redaction_leaves_no_span_and_all_else(documents, model):
     before = {(r.doc_id, r.text): r for r in documents.collect()}
     after = secrets.redact_documents(documents, model)
