@@ -127,21 +127,33 @@ def score_of(token: Column, model: MarkovRatio) -> Column:
     return F.aggregate(places, start, step, lambda acc: acc["sum"] / F.greatest(acc["n"] - 1, F.lit(1)))
 
 
+def _uncovered(run: Column, base: Column) -> Column:
+    """What is left of a run, as spans of its kind, when base spans, which come by start, are cut out of it."""
+    span = lambda a, b: F.array(F.struct(a.alias("start"), run["kind"].alias("kind"), b.alias("end")))
+    start = F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(acc: Column, b: Column) -> Column:
+        cut = (b["start"] < run["end"]) & (acc["at"] < b["end"])
+        spans = F.when(cut & (acc["at"] < b["start"]), F.concat(acc["spans"], span(acc["at"], b["start"]))).otherwise(acc["spans"])
+        return F.struct(F.when(cut, b["end"]).otherwise(acc["at"]).alias("at"), spans.alias("spans"))
+
+    rest = lambda acc: F.when(acc["at"] < run["end"], F.concat(acc["spans"], span(acc["at"], run["end"]))).otherwise(acc["spans"])
+    return F.aggregate(base, start, step, rest)
+
+
 def find_secrets(documents: DataFrame, model: MarkovRatio | None, margin: float = 0.5) -> DataFrame:
     """documents (doc_id, text, ...) with `base` and `spans`: arrays of (start, kind, end), code points, end exclusive.
 
-    kind is a place in KINDS. `base` has the fixed patterns' spans; `spans` has those and, of kind random, the runs of
-    CANDIDATE that overlap no base span and whose mean log-likelihood ratio is at least `margin`. Null and empty texts have none. No shuffle and no Python; columns named base or spans are replaced.
+    kind is a place in KINDS. `base` has the fixed patterns' spans; `spans` has those and, of kind random, what base spans
+    leave of the runs of CANDIDATE: each piece of LEAST characters or more whose mean log-likelihood ratio is at least `margin`. Null and empty texts have none. No shuffle and no Python; columns named base or spans are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = documents.drop("base", "spans").withColumn("base", base_spans(text))
     if model is None:
         return out.withColumn("spans", F.col("base"))
-    likely = F.filter(
-        _spans(text, CANDIDATE, 3, 1),
-        lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    out = out.withColumn("_more", likely)
+    runs = _spans(text, CANDIDATE, 3, 1)
+    pieces = F.filter(F.flatten(F.transform(runs, lambda s: _uncovered(s, F.col("base")))), lambda s: s["end"] - s["start"] >= LEAST)
+    out = out.withColumn("_more", F.when(F.size("base") > 0, pieces).otherwise(runs))
     token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
     more = F.filter("_more", lambda s: score_of(token(s), model) >= margin)
     return out.withColumn("spans", F.when(F.size("_more") > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base"))).drop("_more")
