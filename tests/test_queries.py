@@ -58,6 +58,29 @@ def test_runs_are_conserved(spark):
     assert q["streaming_runs"](spark, SF).count() == len(runs) - len({r.cell for r in runs})
 
 
+def test_streamed_runs_do_not_depend_on_files(spark, tmp_path):
+    import os
+    import random
+    from itertools import groupby
+
+    import pyarrow.parquet as pq
+
+    whole = pq.read_table(f"{SF}/events.parquet").sort_by("ts")
+    (tmp_path / "events.parquet").mkdir()
+    size, order = -(-whole.num_rows // 20), random.Random(5).sample(range(20), 20)
+    for k, at in enumerate(order):
+        path = tmp_path / "events.parquet" / f"part-{k:02}.parquet"
+        pq.write_table(whole.slice(at * size, size), path)
+        os.utime(path, (1_700_000_000 + k * 60,) * 2)
+    want = []
+    rows = sorted((r["user_id"], r["ts"], r["event_id"], r["event_type"]) for r in whole.to_pylist())
+    for user, mine in groupby(rows, lambda r: r[0]):
+        runs = [list(g) for _, g in groupby(mine, lambda r: r[3])]
+        want += [(user, g[0][3], g[0][1].replace(tzinfo=None), len(g)) for g in runs[:-1]]
+    got = registry.QUERIES["streaming_runs"](spark, str(tmp_path)).selectExpr("cell", "symbol", "cast(start_ts as timestamp_ntz) start_ts", "run_len").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_huffman_is_within_its_bounds(spark):
     r = registry.QUERIES["huffman_size"](spark, SF).first()
     assert r.entropy <= r.bits < r.entropy + r.n
