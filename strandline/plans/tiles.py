@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import quantize as V
 from ..sources.tables import table
-from .registry import query
+from .registry import SQL, query
 
 D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))"
 DIST = f"""codes AS (SELECT vec_id AS code, embedding AS c FROM embeddings WHERE vec_id < 16),
@@ -18,6 +18,9 @@ LANES = "(SELECT vec_id, unnest(range(0, 64)) AS lane, unnest(embedding) AS v FR
 LEVELS = f"(SELECT vec_id, lane // 8 AS y, lane % 8 AS x, CAST(greatest(0, least(floor((CAST(v AS DOUBLE) + 0.5) * 2.999), 2)) AS INTEGER) AS level FROM {LANES})"
 
 
+LANES_OF_A_TILE = 64
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
@@ -58,21 +61,32 @@ def vq_centroids(spark, sf_dir):
     return V.centroids(a).withColumn("mean", F.round("mean", 6))
 
 
-@query("vq_exact_else_nearest", f"""WITH {DIST}, m AS (SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda v: CASE WHEN v > 0 THEN '1' ELSE '0' END), '') AS mask FROM embeddings),
-    k AS (SELECT mask, min(vec_id) AS code FROM m WHERE vec_id < 4 GROUP BY mask),
-    n AS (SELECT vec_id, code FROM d WHERE code < 4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, code) = 1)
-    SELECT m.vec_id, coalesce(k.code, n.code) AS code, k.code IS NOT NULL AS exact FROM m LEFT JOIN k USING (mask) JOIN n USING (vec_id)""")
-def vq_exact_else_nearest(spark, sf_dir):
-    """The code with the same coarse mask, and only where there is none the nearest one."""
+def exact_else_nearest(spark: SparkSession, sf_dir: str, lanes: int) -> DataFrame:
+    """(vec_id, code, exact): of the first four tiles the one with the same mask of the first `lanes` lanes, or else the nearest."""
     t = tiles(spark, sf_dir)
-    m = V.masks(t, 4)
+    m = V.masks(t, lanes)
     exact = m.where("vec_id < 4").groupBy("mask").agg(F.min("vec_id").alias("code"))
-    met = m.join(F.broadcast(exact), "mask", "left")  # at most 16 masks of four lanes
+    met = m.join(F.broadcast(exact), "mask", "left")  # masks of the codes only
     rest = t.join(met.where("code is null").select("vec_id"), "vec_id", "left_semi")
     near = V.nearest(rest, V.codebook(t.where("vec_id < 4"))).select("vec_id", "code", F.lit(False).alias("exact"))
     return met.where("code is not null").select("vec_id", "code", F.lit(True).alias("exact")).unionByName(near)
 
 
+@query("vq_exact_else_nearest", f"""WITH {DIST}, m AS (SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda v: CASE WHEN v > 0 THEN '1' ELSE '0' END), '') AS mask FROM embeddings),
+    k AS (SELECT mask, min(vec_id) AS code FROM m WHERE vec_id < 4 GROUP BY mask),
+    n AS (SELECT vec_id, code FROM d WHERE code < 4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, code) = 1)
+    SELECT m.vec_id, coalesce(k.code, n.code) AS code, k.code IS NOT NULL AS exact FROM m LEFT JOIN k USING (mask) JOIN n USING (vec_id)""")
+def vq_exact_else_nearest(spark, sf_dir):
+    """The code with the same coarse mask of four lanes, as the SQL has it, and only where there is none the nearest one."""
+    return exact_else_nearest(spark, sf_dir, 4)
+
+
+@query("vq_exact_else_nearest_whole", SQL["vq_exact_else_nearest"].replace("embedding[1:4]", "embedding"))
+def vq_exact_else_nearest_whole(spark, sf_dir):
+    """The code with the same mask of all lanes, and only where there is none the nearest one."""
+    return exact_else_nearest(spark, sf_dir, LANES_OF_A_TILE)
+
+
 @query("code_usage", f"WITH {DIST}, a AS (SELECT vec_id, code FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, code) = 1) SELECT code, count(*) AS n FROM a GROUP BY code")
 def code_usage(spark, sf_dir):
     """How many tiles use each code."""
@@ -144,49 +158,75 @@ def tile_unpack(spark, sf_dir):
     return m.select("vec_id", "bits", lane).select("vec_id", "lane", F.getbit("bits", "lane").cast("int").alias("bit"))
 
 
+def deduped(m: DataFrame) -> DataFrame:
+    return m.groupBy("mask").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+
+
+def deduped_with_complement(m: DataFrame) -> DataFrame:
+    other = V.complement(F.col("mask"))
+    m = m.withColumn("inv", F.col("mask") > other).withColumn("mask", F.least("mask", other))
+    return m.groupBy("mask").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.count_if("inv").alias("inverted"))
+
+
 @query("tile_dedup", f"WITH {MASK8} SELECT mask, count(*) AS n, min(vec_id) AS first_id FROM m GROUP BY mask")
 def tile_dedup(spark, sf_dir):
-    """Distinct masks of eight lanes with how often they occur and where first."""
-    return V.masks(tiles(spark, sf_dir), 8).groupBy("mask").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+    """Distinct masks of eight lanes, as the SQL has it, with how often they occur and where first."""
+    return deduped(V.masks(tiles(spark, sf_dir), 8))
+
+
+@query("tile_dedup_whole", SQL["tile_dedup"].replace("embedding[1:8]", "embedding"))
+def tile_dedup_whole(spark, sf_dir):
+    """The same for masks of all lanes."""
+    return deduped(V.masks(tiles(spark, sf_dir), LANES_OF_A_TILE))
 
 
 @query("tile_dedup_complement", f"WITH {MASK8} SELECT least(mask, translate(mask, '01', '10')) AS mask, count(*) AS n, min(vec_id) AS first_id, count(*) FILTER (mask > translate(mask, '01', '10')) AS inverted FROM m GROUP BY 1")
 def tile_dedup_complement(spark, sf_dir):
     """The same, where a mask and its complement are one."""
-    m = V.masks(tiles(spark, sf_dir), 8)
-    other = V.complement(F.col("mask"))
-    m = m.withColumn("inv", F.col("mask") > other).withColumn("mask", F.least("mask", other))
-    return m.groupBy("mask").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.count_if("inv").alias("inverted"))
+    return deduped_with_complement(V.masks(tiles(spark, sf_dir), 8))
+
+
+@query("tile_dedup_complement_whole", SQL["tile_dedup_complement"].replace("embedding[1:8]", "embedding"))
+def tile_dedup_complement_whole(spark, sf_dir):
+    """The same for masks of all lanes."""
+    return deduped_with_complement(V.masks(tiles(spark, sf_dir), LANES_OF_A_TILE))
 
 
 MASK16 = "m AS (SELECT min(vec_id) AS id, mask, count(*) AS n FROM (SELECT vec_id, array_to_string(list_transform(embedding[1:16], lambda v: CASE WHEN v > 0 THEN '1' ELSE '0' END), '') AS mask FROM embeddings) GROUP BY mask)"
 NEAR = "p AS (SELECT a.id AS a, b.id AS b, CAST(hamming(a.mask, b.mask) AS INTEGER) AS dist FROM m a JOIN m b ON a.id < b.id AND hamming(a.mask, b.mask) < 3)"
 
 
-def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, mask, n): distinct masks of 16 lanes."""
-    m = V.masks(tiles(spark, sf_dir), 16).groupBy("mask").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+def coarse(spark: SparkSession, sf_dir: str, lanes: int = LANES_OF_A_TILE) -> DataFrame:
+    """(id, mask, n): distinct masks of the first `lanes` lanes."""
+    m = V.masks(tiles(spark, sf_dir), lanes).groupBy("mask").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     return m.select("id", "mask", "n")
 
 
 @query("hamming_near_pairs", f"WITH {MASK16}, {NEAR} SELECT a, b, dist FROM p")
 def hamming_near_pairs(spark, sf_dir):
-    """Pairs of masks of 16 lanes that differ in fewer than three."""
-    return V.near_pairs(coarse(spark, sf_dir).select("id", "mask"), 3, 16)
+    """Pairs of masks of 16 lanes, as the SQL has it, that differ in fewer than three."""
+    return V.near_pairs(coarse(spark, sf_dir, 16).select("id", "mask"), 3, 16)
 
 
 @query("hamming_prune", f"""WITH {MASK16}, {NEAR}, e AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p)
     SELECT id, n FROM m WHERE id NOT IN (SELECT x FROM e JOIN m u ON u.id = x JOIN m v ON v.id = y WHERE v.n > u.n OR (v.n = u.n AND y < x))""")
 def hamming_prune(spark, sf_dir):
-    """Masks without those that are near a more frequent one."""
-    c = coarse(spark, sf_dir)
+    """Masks of 16 lanes, as the SQL has it, without those that are near a more frequent one."""
+    c = coarse(spark, sf_dir, 16)
     return V.pruned(c, V.near_pairs(c.select("id", "mask"), 3, 16))
 
 
+@query("hamming_prune_whole", SQL["hamming_prune"].replace("embedding[1:16]", "embedding"))
+def hamming_prune_whole(spark, sf_dir):
+    """The same for masks of all lanes."""
+    c = coarse(spark, sf_dir)
+    return V.pruned(c, V.near_pairs(c.select("id", "mask"), 3, LANES_OF_A_TILE))
+
+
 @query("hamming_prune_greedy")
 def hamming_prune_greedy(spark, sf_dir):
-    """Masks in order of frequency, without those that are near one that stayed."""
-    return V.greedy_pruned(coarse(spark, sf_dir), 16, 3)
+    """Masks of all lanes in order of frequency, without those that are near one that stayed."""
+    return V.greedy_pruned(coarse(spark, sf_dir), LANES_OF_A_TILE, 3)
 
 
 @query("kmeans_pruned")

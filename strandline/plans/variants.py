@@ -10,13 +10,13 @@ from ..operators import stats as A
 from ..sources.tables import table
 from .registry import query
 from .streams import RUNS, events, runs, transitions
-from .tiles import BLEND, LANES, LEVELS, coarse, codes, lanes, levels, tiles
+from .tiles import BLEND, LANES, LANES_OF_A_TILE, LEVELS, coarse, codes, lanes, levels, tiles
 
 
 @query("first_match_reuse")
 def first_match_reuse(spark, sf_dir):
-    """Each mask of 16 lanes as the first mask kept before it that differs in fewer than four places."""
-    return V.first_match(coarse(spark, sf_dir), [F.asc("id")], 16, 4)
+    """Each mask of all lanes as the first mask kept before it that differs in fewer than four places."""
+    return V.first_match(coarse(spark, sf_dir), [F.asc("id")], LANES_OF_A_TILE, 4)
 
 
 @query("spherical_classes")

@@ -106,6 +106,38 @@ def test_greedy_pruning_keeps_what_is_far_apart(spark):
     assert kept == set(want)
 
 
+def test_tiles_are_compared_in_all_lanes(spark, tmp_path):
+    """Tiles that agree in the first quarter: a copy, near ones and far ones, against brute force."""
+    import random
+
+    rng = random.Random(7)
+    base = [rng.choice((-0.5, 0.5)) for _ in range(64)]
+    flip = lambda *at: [-v if i in at else v for i, v in enumerate(base)]
+    t = [base, flip(*range(16, 64)), flip(20, 40), base, flip(20, 40, 63), flip(30, 31, 32), [-v for v in base], flip(*range(32, 48)), flip(*range(33, 48))]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(t)], "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    bits = ["".join("01"[v > 0] for v in v) for v in t]
+    ids = {m: bits.index(m) for m in bits}
+    n = {i: bits.count(m) for m, i in ids.items()}
+    far = lambda a, b: sum(x != y for x, y in zip(bits[a], bits[b]))
+
+    def walked(order, cutoff):
+        kept = {}
+        for i in order:
+            kept[i] = next((k for k in kept if kept[k] == k and far(i, k) < cutoff), i)
+        return kept
+
+    by_n = sorted(n, key=lambda i: (-n[i], i))
+    assert {r.id for r in run("hamming_prune_greedy")} == {i for i, k in walked(by_n, 3).items() if i == k}
+    assert {r.id: r.kept for r in run("first_match_reuse")} == walked(sorted(n), 4)
+    assert {r.id for r in run("hamming_prune_whole")} == {i for i in n if not any(far(i, k) < 3 and by_n.index(k) < by_n.index(i) for k in n)}
+    assert {(r.mask, r.n, r.first_id) for r in run("tile_dedup_whole")} == {(m, n[i], i) for m, i in ids.items()}
+    folded = [min(m, m.translate({48: 49, 49: 48})) for m in bits]
+    assert {(r.mask, r.n, r.first_id) for r in run("tile_dedup_complement_whole")} == {(m, folded.count(m), folded.index(m)) for m in folded}
+    assert {r.vec_id for r in run("vq_exact_else_nearest_whole") if r.exact} == {k for k, m in enumerate(bits) if m in bits[:4]}
+
+
 def test_skips_do_not_overlap(spark):
     k = {(r.cell, r.run): r for r in registry.QUERIES["skip_candidates"](spark, SF).collect()}
     taken = [k[r.cell, r.run] for r in registry.QUERIES["skips_applied"](spark, SF).collect()]
