@@ -141,13 +141,20 @@ def transitions(spark, sf_dir):
 
 
 PIVOT = ("click", "error", "purchase", "signup", "view")
+#: Most symbols that a matrix has columns for.
+MOST_SYMBOLS = 1000
 
 
 @query("transition_pivot", f"""WITH {RUNS} SELECT to_sym, {", ".join(f'''count(*) FILTER (from_sym = '{s}') AS "{s}"''' for s in PIVOT)}
     FROM chg WHERE from_sym IS NOT NULL GROUP BY to_sym""")
 def transition_pivot(spark, sf_dir):
-    """The transition matrix, one row per target."""
-    t = transitions(spark, sf_dir).groupBy("to_sym").pivot("from_sym", list(PIVOT)).agg(F.sum("n"))
+    """The transition matrix, one row per target, with a column for each symbol of the SQL and each other one that occurs;
+    more than MOST_SYMBOLS of those that occur are an error."""
+    found = symbol_counts(spark, sf_dir).where("symbol is not null").select("symbol").limit(MOST_SYMBOLS + 1).collect()
+    if len(found) > MOST_SYMBOLS:
+        raise ValueError(f"a matrix has columns for at most {MOST_SYMBOLS} symbols")
+    names = sorted({*PIVOT, *(r.symbol for r in found)})
+    t = transitions(spark, sf_dir).groupBy("to_sym").pivot("from_sym", names).agg(F.sum("n"))
     return t.na.fill(0)
 
 

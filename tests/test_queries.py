@@ -138,6 +138,16 @@ def test_tiles_are_compared_in_all_lanes(spark, tmp_path):
     assert {r.vec_id for r in run("vq_exact_else_nearest_whole") if r.exact} == {k for k, m in enumerate(bits) if m in bits[:4]}
 
 
+def test_pivot_has_all_symbols(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.withColumn("event_type", F.when(F.col("event_id") % 7 == 0, "refund").otherwise(F.col("event_type"))).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    want = {(r.from_sym, r.to_sym): r.n for r in registry.QUERIES["transitions"](spark, str(tmp_path)).collect()}
+    got = [r.asDict() for r in registry.QUERIES["transition_pivot"](spark, str(tmp_path)).collect()]
+    assert {(c, r["to_sym"]): n for r in got for c, n in r.items() if c != "to_sym" and n} == want and any("refund" in k for k in want)
+
+
 def test_skips_do_not_overlap(spark):
     k = {(r.cell, r.run): r for r in registry.QUERIES["skip_candidates"](spark, SF).collect()}
     taken = [k[r.cell, r.run] for r in registry.QUERIES["skips_applied"](spark, SF).collect()]
