@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import huffman as H
@@ -18,7 +18,7 @@ from ..functions import rangecoder as R
 from ..operators import sequence as Q
 from ..operators import stats as A
 from ..sources.tables import EVENTS, table
-from .registry import query
+from .registry import SQL, query
 from .streams import RUNS, changes, events, runs, transitions
 
 NOTES = """(SELECT conv_id, turn, CASE role WHEN 'user' THEN 60 WHEN 'assistant' THEN 64 ELSE 67 END AS note,
@@ -52,28 +52,52 @@ def symbols(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 # ---- Huffman ----
 
 
+def characters(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """(symbol), the characters of a table's texts."""
+    return table(spark, sf_dir, source).select(F.explode(F.split("text", "")).alias("symbol")).where("symbol <> ''")
+
+
 @query("char_counts", "SELECT c AS symbol, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM benchmark) GROUP BY c")
 def char_counts(spark, sf_dir):
     """How often each character occurs in the benchmark's texts."""
-    c = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("symbol")).where("symbol <> ''")
-    return c.groupBy("symbol").agg(F.count("*").alias("n"))
+    return characters(spark, sf_dir, "benchmark").groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("char_counts_documents", SQL["char_counts"].replace("benchmark", "documents"))
+def char_counts_documents(spark, sf_dir):
+    """How often each character occurs in the documents."""
+    return characters(spark, sf_dir, "documents").groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 @query("topn_dictionary", "SELECT c AS symbol, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM benchmark) GROUP BY c ORDER BY n DESC, symbol LIMIT 16")
 def topn_dictionary(spark, sf_dir):
-    """The sixteen most frequent characters."""
+    """The sixteen most frequent characters of the benchmark's texts."""
     return char_counts(spark, sf_dir).orderBy(F.desc("n"), "symbol").limit(16)
 
 
+@query("topn_dictionary_documents", SQL["topn_dictionary"].replace("benchmark", "documents"))
+def topn_dictionary_documents(spark, sf_dir):
+    """The sixteen most frequent characters of the documents."""
+    return char_counts_documents(spark, sf_dir).orderBy(F.desc("n"), "symbol").limit(16)
+
+
+def low_bits(chars: DataFrame) -> DataFrame:
+    return chars.groupBy(F.ascii("symbol").bitwiseAND(127).alias("symbol")).agg(F.count("*").alias("n"))
+
+
 @query("bit_tree_probs", """WITH n AS (SELECT ord(c) & 127 AS symbol, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM benchmark) GROUP BY 1),
     l AS (SELECT symbol, n, CAST(unnest(range(0, 7)) AS INTEGER) AS level FROM n),
     t AS (SELECT level, CAST(symbol >> (7 - level) AS INTEGER) AS prefix, sum(CASE WHEN (symbol >> (6 - level)) & 1 = 0 THEN n ELSE 0 END) AS zero, sum(n) AS total FROM l GROUP BY 1, 2)
     SELECT level, prefix, CAST(zero AS BIGINT) AS zero, CAST(total AS BIGINT) AS total, CAST(greatest(0, least(255, floor(zero / total * 257))) AS BIGINT) AS prob FROM t""")
 def bit_tree_probs(spark, sf_dir):
-    """Chances of a 0 bit after each prefix, for the low seven bits of the characters."""
-    c = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''")
-    n = c.groupBy(F.ascii("c").bitwiseAND(127).alias("symbol")).agg(F.count("*").alias("n"))
-    return A.bit_tree(n, 7)
+    """Chances of a 0 bit after each prefix, for the low seven bits of the benchmark's characters."""
+    return A.bit_tree(low_bits(characters(spark, sf_dir, "benchmark")), 7)
+
+
+@query("bit_tree_probs_documents", SQL["bit_tree_probs"].replace("benchmark", "documents"))
+def bit_tree_probs_documents(spark, sf_dir):
+    """The same for the documents' characters."""
+    return A.bit_tree(low_bits(characters(spark, sf_dir, "documents")), 7)
 
 
 @query("huffman_size")
@@ -88,8 +112,8 @@ def huffman_size(spark, sf_dir):
 
 @query("huffman_codes")
 def huffman_codes(spark, sf_dir):
-    """Codes of the benchmark's characters."""
-    rows = {r.symbol: r.n for r in char_counts(spark, sf_dir).orderBy("symbol").collect()}
+    """Codes of the documents' characters."""
+    rows = {r.symbol: r.n for r in char_counts_documents(spark, sf_dir).orderBy("symbol").collect()}
     return spark.createDataFrame([(s, rows[s], len(c), c) for s, c in H.codes(H.tree(rows)).items()], "value string, freq long, bitlen int, code string")
 
 

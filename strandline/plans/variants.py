@@ -8,7 +8,8 @@ from ..functions import scalars as S
 from ..operators import quantize as V
 from ..operators import stats as A
 from ..sources.tables import table
-from .registry import query
+from .codecs import characters
+from .registry import SQL, query
 from .streams import RUNS, events, runs, transitions
 from .tiles import BLEND, LANES, LANES_OF_A_TILE, LEVELS, coarse, codes, lanes, levels, tiles
 
@@ -69,6 +70,10 @@ def signed_codes(spark, sf_dir):
     return v.select("v", S.signed_golomb(F.col("v")).alias("code"))
 
 
+def reversed_low_bits(chars):
+    return chars.groupBy(S.reversed_bits(F.ascii("symbol").bitwiseAND(127), 7).alias("symbol")).agg(F.count("*").alias("n"))
+
+
 @query("reversed_bit_tree", """WITH n AS (SELECT CAST(ord(c) & 127 AS BIGINT) AS s, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM benchmark) GROUP BY 1),
     r AS (SELECT ((s & 1) << 6) | ((s & 2) << 4) | ((s & 4) << 2) | (s & 8) | ((s & 16) >> 2) | ((s & 32) >> 4) | ((s & 64) >> 6) AS symbol, n FROM n),
     l AS (SELECT symbol, n, CAST(unnest(range(0, 7)) AS INTEGER) AS level FROM r),
@@ -76,9 +81,13 @@ def signed_codes(spark, sf_dir):
     SELECT level, prefix, CAST(zero AS BIGINT) AS zero, CAST(total AS BIGINT) AS total, CAST(greatest(0, least(255, floor(zero / total * 257))) AS BIGINT) AS prob FROM t""")
 def reversed_bit_tree(spark, sf_dir):
     """The bit tree of characters whose bits are reversed."""
-    c = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''")
-    n = c.groupBy(S.reversed_bits(F.ascii("c").bitwiseAND(127), 7).alias("symbol")).agg(F.count("*").alias("n"))
-    return A.bit_tree(n, 7)
+    return A.bit_tree(reversed_low_bits(characters(spark, sf_dir, "benchmark")), 7)
+
+
+@query("reversed_bit_tree_documents", SQL["reversed_bit_tree"].replace("benchmark", "documents"))
+def reversed_bit_tree_documents(spark, sf_dir):
+    """The same for the documents' characters."""
+    return A.bit_tree(reversed_low_bits(characters(spark, sf_dir, "documents")), 7)
 
 
 @query("frame_penalty", f"""SELECT a.vec_id, round(sum(abs(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE))), 6) AS penalty FROM {LANES} a JOIN {LANES} b ON b.vec_id = a.vec_id - 1 AND a.lane = b.lane GROUP BY a.vec_id""")

@@ -138,6 +138,11 @@ def test_tiles_are_compared_in_all_lanes(spark, tmp_path):
     assert {r.vec_id for r in run("vq_exact_else_nearest_whole") if r.exact} == {k for k, m in enumerate(bits) if m in bits[:4]}
 
 
+def test_huffman_codes_cover_all_documents(spark, duck):
+    got = {r.value: r.freq for r in registry.QUERIES["huffman_codes"](spark, SF).collect()}
+    assert got == dict(duck.execute(registry.SQL["char_counts"].replace("benchmark", "documents")).fetchall())
+
+
 def test_pivot_has_all_symbols(spark, tmp_path):
     from pyspark.sql import functions as F
 
