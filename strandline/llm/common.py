@@ -1,14 +1,20 @@
-"""What several corpus operators share: the shared folder, written tables and joins with hot keys."""
+"""What several corpus operators share: the shared folder, written tables, joins with hot keys and look-ups of few rows."""
 
 from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where tables go in a session on one machine that names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
+#: Bits of a screen for each key that it holds, and in all: 16 MB, however many keys there are.
+BITS_A_KEY = 64
+MOST_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +30,12 @@ def vocabulary(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of
+    ours, and a cluster an error, as its executors would each write to a disk of their own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_SHARED
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
@@ -47,21 +56,44 @@ def _leave(spark: SparkSession) -> None:
 
 
 _REGISTERED: set[str] = set()
+#: Paths of the tables that were written in each open scratch block.
+_SCRATCH: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; the whole folder of this application goes at exit."""
+    """A fresh path in the shared folder; it goes with its scratch block, or with the whole folder at exit."""
     if (app := spark.sparkContext.applicationId) not in _REGISTERED:
         _REGISTERED.add(app)
         atexit.register(_leave, spark)
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing of what was done before."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandline_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that are written inside go at the end, but for those (what `written` returned) that are put into the list."""
+    _SCRATCH.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        paths, stay = _SCRATCH.pop(), {df._strandline_path for df in kept}
+        for path in paths:
+            if path not in stay:
+                remove(spark, path)
+            elif _SCRATCH:
+                _SCRATCH[-1].append(path)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", hot_share: float = 0.001) -> DataFrame:
@@ -76,7 +108,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     if not hot.limit(1).count():
         return rows.join(groups, keys, how)
     other = [c for c in groups.columns if c not in keys]
-    near = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    met = near.where("_hot").drop("_hot")
-    rest = near.where("_hot is null").drop("_hot", *other).join(cold, keys, how)
+    near = rows.join(F.broadcast(hot.withColumn("_strandline_hot", F.lit(True))), keys, "left")
+    met = near.where("_strandline_hot").drop("_strandline_hot")
+    rest = near.where("_strandline_hot is null").drop("_strandline_hot", *other).join(cold, keys, how)
     return met.unionByName(rest)
+
+
+def divided(rows: DataFrame, key: str, wanted: DataFrame, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(may, can't): the rows whose key may be in the column `key` of wanted, and those whose key can't be; nulls are a key.
+
+    Keys are screened where the rows are read, by bitmaps of their hashes that are at most MOST_BITS large and so are
+    broadcast: few rows with long texts are found among many without a shuffle of all texts. With more keys than the
+    bitmaps can tell apart, more rows may be wanted, and none is lost. wanted should be a written table; the bitmaps are added to kept, the list of a scratch block.
+    """
+    count = wanted.count()
+    bits = min(MOST_BITS, max(1 << 15, 1 << (count * BITS_A_KEY - 1).bit_length() if count else 0))
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    at = wanted.select(place.alias("at"))
+    maps = at.groupBy(F.bitmap_bucket_number("at").alias("_strandline_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_strandline_bits"))
+    maps = written(maps, "screen")
+    if kept is not None:
+        kept.append(maps)
+    near = rows.withColumn("_strandline_bit", F.bitmap_bit_position(place))
+    near = near.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_strandline_bucket"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("_strandline_bits"), (F.col("_strandline_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    hit: Column = F.coalesce(F.getbit(byte, F.pmod("_strandline_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return near.where(hit).select(*rows.columns), near.where(~hit).select(*rows.columns)

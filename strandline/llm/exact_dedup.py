@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET_KEYS = 50_000
+#: Distinct digests for which a snapshot has one filter.
+BUCKET_KEYS = 8192
 
 
 # ---- 3-wise binary fuse filter with 8-bit fingerprints ----
@@ -111,8 +112,9 @@ def normalised(text: Column) -> Column:
 
 
 @dataclass
-class Snapshot:
-    """Distinct texts of earlier batches, never changed: groups (digest, head, n, bucket) and filters (bucket, filter)."""
+class Snapshots:
+    """Distinct texts of batches that have been taken in, never changed: groups (batch, digest, head, n, bucket), a written
+    table, and a filter for each batch and bucket: filters (batch, bucket, filter)."""
 
     groups: DataFrame
     filters: DataFrame
@@ -125,90 +127,87 @@ def _keys(digests: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _build(keys: tuple, group: pa.Table) -> pa.Table:
-    return pa.table({"bucket": pa.array([keys[0].as_py()], pa.int32()), "filter": pa.array([BinaryFuse.build(_keys(group["digest"])).to_bytes()], pa.binary())})
+    batch, bucket = (pa.array([k.as_py()], pa.int32()) for k in keys)
+    return pa.table({"batch": batch, "bucket": bucket, "filter": pa.array([BinaryFuse.build(_keys(group["digest"])).to_bytes()], pa.binary())})
 
 
-def _screen(keys: tuple, batch: pa.Table, filters: pa.Table) -> pa.Table:
-    """The batch's groups that the bucket's filter may hold."""
-    if not batch.num_rows or not filters.num_rows:
-        return batch.slice(0, 0)
-    may = BinaryFuse.from_bytes(filters["filter"][0].as_py()).contains(_keys(batch["digest"]))
-    return batch.filter(pa.array(may))
+def _screen(keys: tuple, incoming: pa.Table, filters: pa.Table) -> pa.Table:
+    """The incoming groups that the snapshot's filter may hold."""
+    if not incoming.num_rows or not filters.num_rows:
+        return incoming.slice(0, 0)
+    may = BinaryFuse.from_bytes(filters["filter"][0].as_py()).contains(_keys(incoming["digest"]))
+    return incoming.filter(pa.array(may))
 
 
-def grouped(batch: DataFrame, buckets: int) -> DataFrame:
-    """The batch's distinct digests with head = its least (doc_id, row), nulls last, and n rows. Partial sums come before the
+def grouped(rows: DataFrame, buckets: int) -> DataFrame:
+    """Each batch's distinct digests with head = its least (doc_id, row), nulls last, and n rows. Partial sums come before the
     shuffle, so a text that a third of all rows share is no hot group."""
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    out = batch.groupBy("digest").agg(F.min(head).alias("head"), F.count("*").alias("n"))
+    out = rows.groupBy("batch", "digest").agg(F.min(head).alias("head"), F.count("*").alias("n"))
     return out.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int"))
 
 
-def snapshot(groups: DataFrame) -> Snapshot:
-    """groups, which must be a written table, with a filter for each bucket."""
-    filters = groups.select("bucket", "digest").groupBy("bucket").applyInArrow(_build, "bucket int, filter binary")
-    return Snapshot(groups, common.written(filters, "fuse"))
+def snapshots(groups: DataFrame) -> Snapshots:
+    """groups, which must be a written table, with their filters."""
+    filters = groups.select("batch", "bucket", "digest").groupBy("batch", "bucket").applyInArrow(_build, "batch int, bucket int, filter binary")
+    return Snapshots(groups, common.written(filters, "fuse"))
 
 
-def matches(groups: DataFrame, snap: Snapshot, texts: DataFrame) -> DataFrame:
-    """(digest, first): groups of the new batch whose text the snapshot has, with the head it has there.
+def positives(snaps: Snapshots) -> DataFrame:
+    """(digest, batch, snapshot): groups of a batch that are in the exact bucket of a snapshot before it. Only groups that
+    the snapshot's filter lets through are looked up there."""
+    asked = snaps.groups.where("batch > 0").select("digest", "batch", "bucket", F.explode(F.sequence(F.lit(0), F.col("batch") - 1)).alias("snapshot"))
+    filters = snaps.filters.withColumnRenamed("batch", "snapshot")
+    kept = asked.groupBy("snapshot", "bucket").cogroup(filters.groupBy("snapshot", "bucket")).applyInArrow(_screen, asked.schema)
+    exact = snaps.groups.select("digest", F.col("batch").alias("snapshot"))
+    return kept.drop("bucket").join(exact, ["digest", "snapshot"])
 
-    texts: (doc_id, text), read again for the few documents that are compared. What passes the filter joins the snapshot's groups by digest, and what joins is compared
-    byte by byte.
+
+def matches(snaps: Snapshots, texts: DataFrame) -> DataFrame:
+    """(batch, digest, known): groups whose text a snapshot before theirs has, with the head that it has in the first one.
+
+    texts (doc_id, text) is read once more, for the documents that stand for the positives' groups; others are screened out
+    where they are read. Positives of one digest are equal when their bytes are: bodies are grouped by digest and body.
     """
-    mine = groups.select("bucket", "digest", F.col("head.doc_id").alias("mine"))
-    kept = mine.groupBy("bucket").cogroup(snap.filters.groupBy("bucket")).applyInArrow(_screen, mine.schema)
-    pairs = kept.drop("bucket").join(snap.groups.select("digest", F.col("head").alias("first")), "digest")
-    pairs = common.written(pairs, "positives")
-    both = pairs.select("digest", F.col("mine").alias("id")).unionByName(pairs.select("digest", F.col("first.doc_id").alias("id")))
-    body = texts.select(F.col("doc_id").alias("at"), "text").join(both.distinct(), F.col("at").eqNullSafe(F.col("id")))
-    body = body.select("digest", "id", normalised(F.col("text")).alias("body")).where(F.unhex(F.sha2("body", 256)) == F.col("digest"))
-    body = common.written(body, "bodies")
-    ours, theirs = body.select("digest", F.col("id").alias("x"), F.col("body").alias("a")), body.select("digest", F.col("id").alias("y"), F.col("body").alias("b"))
-    same = pairs.join(ours, "digest").where(F.col("mine").eqNullSafe(F.col("x"))).join(theirs, "digest")
-    return same.where(F.col("first.doc_id").eqNullSafe(F.col("y")) & (F.col("a") == F.col("b"))).select("digest", "first").distinct()
+    found = common.written(positives(snaps), "positives")
+    ends = found.select("digest", "batch").unionByName(found.select("digest", F.col("snapshot").alias("batch"))).distinct()
+    asked = snaps.groups.select("digest", "batch", "head", F.col("head.doc_id").alias("doc_id")).join(ends, ["digest", "batch"])
+    asked = common.written(asked, "asked")
+    body = common.divided(texts.select("doc_id", "text"), "doc_id", asked)[0].select("doc_id", normalised(F.col("text")).alias("body"))
+    body = body.withColumn("digest", F.unhex(F.sha2("body", 256)))
+    mine = asked.select("batch", "head", F.col("digest").alias("of"), F.col("doc_id").alias("at"))
+    body = body.join(mine, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at")))
+    same = body.groupBy("digest", "body").agg(F.min(F.struct("batch", "head")).alias("first"), F.collect_set("batch").alias("batches"))
+    same = same.select("digest", "first", F.explode("batches").alias("batch")).where(F.col("batch") > F.col("first.batch"))
+    return same.select("batch", "digest", F.col("first.head").alias("known"))
 
 
 def dedup(documents: DataFrame, cuts: int = 2) -> DataFrame:
     """One row per row of documents (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal texts are identical after `normalised`. The table is taken as cuts + 1 batches of ascending doc_id, as if they
-    had arrived one after the other: each batch is grouped by digest, screened against the snapshots before it, and
-    becomes a snapshot. Of equal texts the least doc_id stays; null doc_ids come last; of equal doc_ids just one row
-    stays. Other columns are not looked at. An empty table gives an empty table.
+    had arrived one after the other: each batch is grouped by digest, becomes a snapshot with filters, and is screened
+    against the snapshots before it. Of equal texts the least doc_id stays; null doc_ids come last; of equal doc_ids just
+    one row stays. Other columns are not looked at. An empty table gives an empty table.
     """
-    source = documents.select("doc_id", "text")
-    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
-    rows = common.written(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest.alias("digest")), "digests")
-    at = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    total, bounds = rows.agg(F.count("*"), F.percentile_approx("doc_id", at, 10_000)).first()
-    bounds = sorted(set(bounds or []))
-    batch = sum((F.coalesce(F.col("doc_id") > F.lit(b), F.lit(True)).cast("int") for b in bounds), F.lit(0))
-    rows = rows.withColumn("batch", batch)
-    buckets = max(1, -(-total // ((len(bounds) + 1) * BUCKET_KEYS)))
-    snaps: list[Snapshot] = []
-    parts: list[DataFrame] = []
-    for b in range(len(bounds) + 1):
-        groups = common.written(grouped(rows.where(F.col("batch") == b), buckets), f"batch{b}")
-        first = groups.select("digest", "n", F.col("head").alias("first"))
-        if snaps:
-            seen = [matches(groups, s, source) for s in snaps]
-            found = seen[0]
-            for other in seen[1:]:
-                found = found.unionByName(other)
-            found = found.groupBy("digest").agg(F.min("first").alias("known"))
-            groups = common.written(groups.join(found, "digest", "left"), f"met{b}")
-            first = groups.select("digest", "n", F.coalesce("known", "head").alias("first"))
-            groups = groups.where("known is null").drop("known")
-        parts.append(first.withColumn("batch", F.lit(b)))
-        if b < len(bounds):
-            snaps.append(snapshot(groups))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    sizes = every.groupBy(F.col("first.row").alias("_keeper")).agg(F.sum("n").alias("group_size"))
-    every = common.written(every.withColumn("_keeper", F.col("first.row")).join(sizes, "_keeper"), "groups")
-    out = common.join_groups(rows, every, ["batch", "digest"], "n")
+    with common.scratch(documents.sparkSession) as kept:
+        source = documents.select("doc_id", "text")
+        digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+        rows = common.written(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest.alias("digest")), "digests")
+        kept.append(rows)
+        at = [i / (cuts + 1) for i in range(1, cuts + 1)]
+        total, bounds = rows.agg(F.count("*"), F.percentile_approx("doc_id", at, 10_000)).first()
+        bounds = sorted(set(bounds or []))
+        rows = rows.withColumn("batch", sum((F.coalesce(F.col("doc_id") > F.lit(b), F.lit(True)).cast("int") for b in bounds), F.lit(0)))
+        buckets = max(1, -(-total // ((len(bounds) + 1) * BUCKET_KEYS)))
+        groups = common.written(grouped(rows, buckets), "batches")
+        found = matches(snapshots(groups), source)
+        every = groups.join(found, ["batch", "digest"], "left").select("batch", "digest", "n", F.coalesce("known", "head").alias("first"))
+        every = common.written(every.withColumn("_keeper", F.col("first.row")), "met")
+        sizes = every.groupBy("_keeper").agg(F.sum("n").alias("group_size"))
+        every = common.written(every.join(sizes, "_keeper"), "groups")
+        kept.append(every)
+        out = common.join_groups(rows, every, ["batch", "digest"], "n")
     return out.select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
         (F.col("row") == F.col("_keeper")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -218,18 +217,24 @@ def dedup(documents: DataFrame, cuts: int = 2) -> DataFrame:
 def keep_first(documents: DataFrame) -> DataFrame:
     """documents with one row of each group of equal texts, that with the least doc_id; all columns stay.
 
-    What goes is looked up by (doc_id, digest). Rows that repeat both doc_id and text are cut down to one, whichever.
+    What goes is looked up by (doc_id, digest), and only rows whose doc_id may be among those that go are shuffled. Rows
+    that repeat both doc_id and text are cut down to one, whichever. Null texts count as empty, null doc_ids come last; an
+    empty table stays empty.
     """
     columns = documents.columns
-    found = common.written(dedup(documents).select("doc_id", "keep_id", "kept", "text_sha256"), "verdicts")
-    gone = found.where(~F.col("kept"))
-    key = [F.col("doc_id").alias("_strandline_id"), F.col("text_sha256").alias("_strandline_gone")]
-    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    other, twice = gone.where(~again).select(*key).distinct(), gone.where(again).select(*key).distinct()
-    marked = documents.withColumn("_strandline_digest", F.sha2(normalised(F.col("text")), 256))
+    with common.scratch(documents.sparkSession) as kept:
+        found = dedup(documents).where(~F.col("kept"))
+        again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        key = [F.col("doc_id").alias("_strandline_id"), F.col("text_sha256").alias("_strandline_gone")]
+        gone = common.written(found.groupBy(*key).agg(F.bool_or(again).alias("_strandline_twice")), "gone")
+        kept.append(gone)
+        may, stay = common.divided(documents, "doc_id", gone.select(F.col("_strandline_id").alias("doc_id")), kept)
+        twice = gone.where("_strandline_twice").limit(1).count()
+    marked = may.withColumn("_strandline_digest", F.sha2(normalised(F.col("text")), 256))
     same = F.col("doc_id").eqNullSafe(F.col("_strandline_id")) & (F.col("_strandline_digest") == F.col("_strandline_gone"))
-    out = marked.join(other, same, "left_anti")
-    if twice.limit(1).count():
-        one = out.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_strandline_digest"])
-        out = out.join(twice, same, "left_anti").unionByName(one)
-    return out.select(*columns)
+    if not twice:
+        return marked.join(gone, same, "left_anti").select(*columns).unionByName(stay)
+    out = marked.join(gone.where("not _strandline_twice"), same, "left_anti")
+    one = out.join(gone.where("_strandline_twice"), same, "left_semi").dropDuplicates(["doc_id", "_strandline_digest"])
+    out = out.join(gone.where("_strandline_twice"), same, "left_anti").unionByName(one)
+    return out.select(*columns).unionByName(stay)
