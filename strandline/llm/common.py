@@ -134,3 +134,22 @@ def divided(rows: DataFrame, key: str, wanted: DataFrame, kept: list[DataFrame]
     byte = F.conv(F.hex(F.substring(F.col("_strandline_bits"), (F.col("_strandline_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     hit: Column = F.coalesce(F.getbit(byte, F.pmod("_strandline_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
     return near.where(hit).select(*rows.columns), near.where(~hit).select(*rows.columns)
+
+
+def without(documents: DataFrame, gone: DataFrame, mark: Column, kept: list[DataFrame]) -> DataFrame:
+    """documents without the rows named in gone (doc_id, mark, once), a written table; all columns stay.
+
+    mark is an expression over documents that tells apart rows of one doc_id. Of rows that repeat doc_id and mark with
+    `once`, one stays, whichever. Nulls are equal. Only rows whose doc_id may be in gone are shuffled; kept as in `divided`.
+    """
+    columns = documents.columns
+    may, stay = divided(documents, "doc_id", gone, kept)
+    named = gone.select(F.col("doc_id").alias("_strandline_id"), F.col("mark").alias("_strandline_gone"), F.col("once").alias("_strandline_once"))
+    once = named.where("_strandline_once")
+    marked = may.withColumn("_strandline_mark", mark)
+    same = F.col("doc_id").eqNullSafe(F.col("_strandline_id")) & (F.col("_strandline_mark") == F.col("_strandline_gone"))
+    if not once.limit(1).count():
+        return marked.join(named, same, "left_anti").select(*columns).unionByName(stay)
+    out = marked.join(named.where("not _strandline_once"), same, "left_anti")
+    one = out.join(once, same, "left_semi").dropDuplicates(["doc_id", "_strandline_mark"])
+    return out.join(once, same, "left_anti").unionByName(one).select(*columns).unionByName(stay)

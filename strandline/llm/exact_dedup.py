@@ -221,20 +221,9 @@ def keep_first(documents: DataFrame) -> DataFrame:
     that repeat both doc_id and text are cut down to one, whichever. Null texts count as empty, null doc_ids come last; an
     empty table stays empty.
     """
-    columns = documents.columns
     with common.scratch(documents.sparkSession) as kept:
         found = dedup(documents).where(~F.col("kept"))
         again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-        key = [F.col("doc_id").alias("_strandline_id"), F.col("text_sha256").alias("_strandline_gone")]
-        gone = common.written(found.groupBy(*key).agg(F.bool_or(again).alias("_strandline_twice")), "gone")
+        gone = common.written(found.groupBy("doc_id", F.col("text_sha256").alias("mark")).agg(F.bool_or(again).alias("once")), "gone")
         kept.append(gone)
-        may, stay = common.divided(documents, "doc_id", gone.select(F.col("_strandline_id").alias("doc_id")), kept)
-        twice = gone.where("_strandline_twice").limit(1).count()
-    marked = may.withColumn("_strandline_digest", F.sha2(normalised(F.col("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_strandline_id")) & (F.col("_strandline_digest") == F.col("_strandline_gone"))
-    if not twice:
-        return marked.join(gone, same, "left_anti").select(*columns).unionByName(stay)
-    out = marked.join(gone.where("not _strandline_twice"), same, "left_anti")
-    one = out.join(gone.where("_strandline_twice"), same, "left_semi").dropDuplicates(["doc_id", "_strandline_digest"])
-    out = out.join(gone.where("_strandline_twice"), same, "left_anti").unionByName(one)
-    return out.select(*columns).unionByName(stay)
+        return common.without(documents, gone, F.sha2(normalised(F.col("text")), 256), kept)

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from . import common
 from .words import chunks, mix, shingles
 
-#: Documents that are compared with one another in one task.
+#: Sets that are compared with as many others in one task, and their bytes; a set of more bytes is a block of its own.
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
+#: Places of an inverted index that are counted at once.
+SLICE = 1 << 20
 #: Partners of one document that are verified in one task.
 FAN = 256
 
@@ -84,37 +87,45 @@ def band_keys(sketch: np.ndarray, rule: Rule) -> np.ndarray:
     return key
 
 
+def _set_digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """A 128-bit digest of each set as two columns of longs."""
+    with np.errstate(over="ignore"):
+        one = [mix(s).sum(dtype=np.uint64) for s in sets]
+        two = [mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets]
+    return [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
+
+
 def sketch_documents(documents: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n (size of the shingle set), a and b (a 128-bit digest of the set), keys (one per band)."""
+    """doc_id, h (a hash of the text), n (size of the shingle set), a and b (a digest of the set), keys (one per band)."""
 
     def run(batches):
         for b in batches:
             for t in chunks(b["text"]):
                 sets = shingles(t, rule.words)
                 keys = band_keys(fast_sketch(sets, rule.size), rule).view(np.int64)
-                with np.errstate(over="ignore"):
-                    one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                    two = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * rule.bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(t.first, len(t)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), flat],
-                    ["doc_id", "n", "a", "b", "keys"],
-                )
+                own = [b[c].slice(t.first, len(t)) for c in ("doc_id", "h")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), *_set_digests(sets), flat], ["doc_id", "h", "n", "a", "b", "keys"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, n long, a long, b long, keys array<long>")
 
 
-def shingle_sets(documents: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """(id, items): sorted shingle hashes of the documents in ids (id), one row per id."""
+def shingle_sets(documents: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(node, items): sorted shingle hashes, one row for each of classes (node, doc_id, a, b), a written table.
+
+    Documents that don't stand for a class are screened out where they are read; of the others only sets are shuffled.
+    """
 
     def run(batches):
         for b in batches:
             for t in chunks(b["text"]):
-                sets = [s.tobytes() for s in shingles(t, rule.words)]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(t.first, len(t)), pa.array(sets, pa.binary())], ["id", "items"])
+                sets = shingles(t, rule.words)
+                yield pa.RecordBatch.from_arrays([*_set_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["a", "b", "items"])
 
-    few = documents.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return few.mapInArrow(run, "id long, items binary")
+    few = common.divided(documents.select("doc_id", "text"), "doc_id", classes)[0]
+    sets = few.select("text").mapInArrow(run, "a long, b long, items binary").groupBy("a", "b").agg(F.first("items").alias("items"))
+    return sets.join(classes.select("a", "b", "node"), ["a", "b"]).select("node", "items")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -132,8 +143,8 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     with a copy of its set."""
     fan = common.written(pairs.groupBy("y").agg(F.count("*").alias("n")).withColumn("fan", F.ceil(F.col("n") / FAN).cast("int")), "fan")
     dealt = common.join_groups(pairs, fan, ["y"], "n").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("fan")).cast("int")).drop("n", "fan")
-    ours = sets.select(F.col("id").alias("x"), F.col("items").alias("xs"))
-    theirs = sets.join(fan, sets["id"] == fan["y"]).select("y", F.col("items").alias("ys"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
+    ours = sets.select(F.col("node").alias("x"), F.col("items").alias("xs"))
+    theirs = sets.join(fan, sets["node"] == fan["y"]).select("y", F.col("items").alias("ys"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
     both = dealt.join(ours, "x").join(theirs, ["y", "salt"]).select("x", "y", "xs", "ys")
 
     def run(batches):
@@ -156,75 +167,108 @@ def components(links: DataFrame) -> DataFrame:
     node of a component always stays, so it is what remains. Rounds are logarithmic in the longest path in practice, each
     round's tables are written, and nodes with very many links are met by broadcast.
     """
-    links = common.written(links.where("x <> y").distinct(), "links")
-    labels = common.written(links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct().withColumn("label", F.col("node")), "labels")
+    spark = links.sparkSession
+    with common.scratch(spark) as kept:
+        links = common.written(links.where("x <> y").distinct(), "links")
+        labels = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
+        labels = common.written(labels.withColumn("label", F.col("node")), "labels")
+        kept += [links, labels]
     while links.limit(1).count():
-        both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        near = both.groupBy("x").agg(F.min("y").alias("to"), F.count("*").alias("n"))
-        near = common.written(near.withColumn("to", F.least("x", "to")), "near")
-        again = near.select(F.col("x").alias("to"), F.col("to").alias("far"))
-        hop = common.written(near.join(again, "to").select("x", F.col("far").alias("to"), "n"), "hop")
-        moved = common.join_groups(links, hop, ["x"], "n").select("y", F.col("to").alias("p"))
-        moved = common.join_groups(moved, hop.withColumnRenamed("x", "y"), ["y"], "n").select(F.col("p").alias("x"), F.col("to").alias("y"))
-        counted = labels.groupBy("label").agg(F.count("*").alias("m"))
-        step = hop.where("x <> to").select(F.col("x").alias("label"), "to").join(counted, "label")
-        labels = common.written(common.join_groups(labels, step, ["label"], "m").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        links = common.written(moved.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
+        with common.scratch(spark) as kept:
+            links, labels = _contracted(links, labels)
+            kept += [links, labels]
     return labels
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shared, stars) of reps (id, keys): all (key, id, c) of keys with c > 1 ids, and (x, y), y the least id of a key that
-    x has. One pair for each member of a bucket, however large the bucket is."""
-    keyed = reps.select("id", F.explode("keys").alias("key"))
-    buckets = common.written(keyed.groupBy("key").agg(F.min("id").alias("y"), F.count("*").alias("c")).where("c > 1"), "buckets")
+def _contracted(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round of `components`: (links between what is left, labels so far)."""
+    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    near = both.groupBy("x").agg(F.min("y").alias("to"), F.count("*").alias("n"))
+    near = common.written(near.withColumn("to", F.least("x", "to")), "near")
+    again = near.select(F.col("x").alias("to"), F.col("to").alias("far"))
+    hop = common.written(near.join(again, "to").select("x", F.col("far").alias("to"), "n"), "hop")
+    moved = common.join_groups(links, hop, ["x"], "n").select("y", F.col("to").alias("p"))
+    moved = common.join_groups(moved, hop.withColumnRenamed("x", "y"), ["y"], "n").select(F.col("p").alias("x"), F.col("to").alias("y"))
+    counted = labels.groupBy("label").agg(F.count("*").alias("m"))
+    step = hop.where("x <> to").select(F.col("x").alias("label"), "to").join(counted, "label")
+    labels = common.written(common.join_groups(labels, step, ["label"], "m").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    links = common.written(moved.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
+    return links, labels
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shared, stars) of classes (node, keys): all (key, node, c) of keys with c > 1 nodes, and (x, y), y the least node of a
+    key that x has. One pair for each member of a bucket, however large the bucket is."""
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    buckets = common.written(keyed.groupBy("key").agg(F.min("node").alias("y"), F.count("*").alias("c")).where("c > 1"), "buckets")
     shared = common.written(common.join_groups(keyed, buckets, ["key"], "c", how="inner"), "shared")
-    return shared, shared.where("id <> y").select(F.col("id").alias("x"), "y").distinct()
+    return shared, shared.where("node <> y").select(F.col("node").alias("x"), "y").distinct()
 
 
 def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label, c) of keys of three or more ids (of two, the star was all there is) from more than one component.
+    """(key, node, label) of keys of three or more nodes (of two, the star was all there is) from more than one component.
 
-    Keys that have the very same ids are taken once: they are known by two exclusive ors of their ids' hashes.
+    Keys that have the very same nodes are taken once: they are known by two exclusive ors of their nodes' hashes.
     """
-    known = labels.withColumnRenamed("node", "id")
-    full = shared.where("c > 2").select("key", "id").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    full = shared.where("c > 2").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     keys = full.groupBy("key").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"),
-        F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("q"),
+        F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q"),
     ).where("lo <> hi")
     keys = common.written(keys.groupBy("c", "p", "q").agg(F.min("key").alias("key")).select("key", "c"), "mixed_keys")
-    return common.written(common.join_groups(full, keys, ["key"], "c", how="inner"), "unsettled")
+    return common.written(common.join_groups(full, keys, ["key"], "c", how="inner").drop("c"), "unsettled")
+
+
+def _overlaps(flat: np.ndarray, who: np.ndarray, many: int, items: np.ndarray) -> np.ndarray:
+    """How many of items each of `many` sets has; flat: all their elements in order, who: the set of each."""
+    first, count = np.searchsorted(flat, items, "left"), np.searchsorted(flat, items, "right")
+    count -= first
+    first, count = first[count > 0], count[count > 0]
+    total, out, at = np.cumsum(count), np.zeros(many, np.int64), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")))
+        n = count[at:to]
+        places = np.repeat(first[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out += np.bincount(who[places], minlength=many)
+        at = to
+    return out
 
 
 def compared(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(x, y): the links that join components inside the keys of rows (key, id, label, c); at most one per id and key.
+    """(x, y): the links that join components inside the keys of rows (key, node, label).
 
-    Linked documents share a key, and where neither is the key's least id the star has not compared them. The ids of a key
-    are dealt into blocks of about BLOCK; those outside the key's largest component visit every block. In a block, shared
-    shingles are counted through an inverted index of its members, so pairs are compared but never written down, and only
-    a link that joins two components is returned.
+    Linked documents share a key, and where neither is the key's least node the star has not compared them. A key's nodes
+    are its members; those outside its largest component are guests too, and each guest is compared with each member.
+    Members and guests are dealt into blocks by count and by bytes, and a task takes one block of each, so what it holds is
+    bounded. Shared shingles are counted through an inverted index of the members: pairs are compared but never written
+    down, and only a link that joins two components is returned. A task ends once all it holds is one component.
     """
-    largest = rows.where(F.col("c") > BLOCK).groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = largest.groupBy("key").agg(F.max(F.struct("n", "label")).alias("_m")).select("key", F.col("_m.label").alias("main"))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = rows.join(largest, "key", "left").withColumn("blocks", blocks)
-    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    visits = F.when((F.col("blocks") > 1) & (F.col("label") != F.col("main")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    dealt = dealt.select("key", "id", "label", "main", "home", F.explode(visits).alias("block"))
-    full = dealt.join(sets, "id").select("key", "block", "id", "label", "main", (F.col("home") == F.col("block")).alias("member"), "items")
+    sized = rows.join(sets.select("node", F.length("items").cast("long").alias("bytes")), "node")
+    parts = sized.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    deal = parts.groupBy("key").agg(F.max(F.struct("n", "label", "bytes")).alias("_m"), F.sum("n").alias("c"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES, F.lit(1))).cast("int")
+    deal = deal.select("key", F.col("_m.label").alias("main"), "c", blocks(F.col("c"), F.col("bytes")).alias("blocks"), blocks(F.col("c") - F.col("_m.n"), F.col("bytes") - F.col("_m.bytes")).alias("rounds"))
+    dealt = common.join_groups(rows, common.written(deal, "deal"), ["key"], "c")
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(5)), F.col("rounds")).cast("int"))
+    dealt = dealt.withColumn("outside", F.col("label") != F.col("main"))
+    place = lambda block, turn, member, guest: F.struct(block.alias("block"), turn.alias("turn"), member.alias("member"), guest.alias("guest"))
+    at_home = F.transform(F.sequence(F.lit(0), F.col("rounds") - 1), lambda j: place(F.col("home"), j, F.lit(True), F.col("outside") & (j == F.col("turn"))))
+    visits = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.col("outside") & (i != F.col("home"))), lambda i: place(i, F.col("turn"), F.lit(False), F.lit(True)))
+    dealt = dealt.select("key", "node", "label", "main", F.explode(F.concat(at_home, visits)).alias("at"))
+    full = dealt.join(sets, "node").select("key", "at.block", "at.turn", "node", "label", "main", "at.member", "at.guest", "items")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
+        nodes, labels, main = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["main"][0].as_py()
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"]]
         own = np.flatnonzero(rows["member"].to_numpy(zero_copy_only=False))
+        guests = np.flatnonzero(rows["guest"].to_numpy(zero_copy_only=False))
         sizes = np.array([len(items[i]) for i in own], np.int64)
-        flat, who = np.concatenate([items[i] for i in own] or [np.zeros(0, np.uint64)]), np.repeat(np.arange(len(own)), sizes)
+        flat = np.concatenate([items[i] for i in own] or [np.zeros(0, np.uint64)])
+        who = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
-        names, counts = np.unique(labels, return_counts=True)
-        known = rows["main"][0].as_py()  # of a key in one block, it is found here
-        main, root = names[counts.argmax()] if known is None else known, {int(v): int(v) for v in names}
+        root = {int(v): int(v) for v in np.unique(labels)}
+        apart = len(root)
 
         def find(a: int) -> int:
             while root[a] != a:
@@ -232,21 +276,55 @@ def compared(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             return a
 
         x, y = [], []
-        for i in np.flatnonzero(labels != main):
-            lo, hi = np.searchsorted(flat, items[i], "left"), np.searchsorted(flat, items[i], "right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            both = np.bincount(who[at], minlength=len(own))
+        for i in guests if apart > 1 else []:
+            both = _overlaps(flat, who, len(own), items[i])
             hits = np.flatnonzero((both > 0) & (100 * both >= rule.percent * (sizes + len(items[i]) - both)) & (labels[own] != labels[i]))
             for k in hits:
                 a, b = find(int(labels[i])), find(int(labels[own[k]]))
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    x.append(int(ids[i]))
-                    y.append(int(ids[own[k]]))
+                    apart -= 1
+                    x.append(int(nodes[i]))
+                    y.append(int(nodes[own[k]]))
+            if apart == 1:
+                break
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
-    return full.groupBy("key", "block").applyInArrow(run, "x long, y long")
+    return full.groupBy("key", "block", "turn").applyInArrow(run, "x long, y long")
+
+
+def linked(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(rows, components): rows (doc_id, h, n, a, b, keys) of all documents, and (a, b, copies, component, label) of all classes,
+    where a class are the documents with one set of shingles, label is the same for all classes that links lead to from
+    one another, and component their least doc_id. Both are written tables."""
+    spark = documents.sparkSession
+    with common.scratch(spark) as kept:
+        rows = common.written(sketch_documents(documents, rule), "sketches")
+        kept.append(rows)
+        classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+        classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        shared, stars = candidates(classes)
+        stars = common.written(stars, "stars")
+
+        def sets_of(nodes: DataFrame) -> DataFrame:
+            asked = common.written(classes.select("node", "doc_id", "a", "b").join(nodes, "node", "left_semi"), "asked")
+            return common.written(shingle_sets(documents, asked, rule), "sets")
+
+        ends = stars.select(F.col("x").alias("node")).unionByName(stars.select(F.col("y").alias("node"))).distinct()
+        links = common.written(verified(stars, sets_of(ends), rule), "verified")
+        labels = components(links)
+        open_rows = unsettled(shared, labels)
+        if open_rows.limit(1).count():
+            more = common.written(compared(open_rows, sets_of(open_rows.select("node").distinct()), rule), "more")
+            if more.limit(1).count():
+                labels = components(links.unionByName(more))
+        known = classes.select("node", "a", "b", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = common.written(known, "labelled")
+        least = common.written(known.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("m")), "least")
+        final = common.join_groups(known, least, ["label"], "m").select("a", "b", "copies", "component", "label")
+        final = common.written(final, "components")
+        kept.append(final)
+    return rows, final
 
 
 def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -254,40 +332,31 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     A-Z count as a-z, words are what white space (space, tab to carriage return) separates; a text of fewer words than a
     shingle has is one shingle, a null or empty text has none and is linked with nothing. component_id is the least doc_id
-    that links lead to. Documents with equal sets are one class, found by a digest before the shuffle; only its least
-    doc_id takes part in the rest. Rows of one doc_id are one document; a row without doc_id has the component of its
-    class. kept is doc_id = component_id, and false without doc_id. Documents are read again only where a candidate pair
-    has to be verified. Other columns are not read; an empty table gives an empty table.
+    that links lead to, and null where they lead to no row with a doc_id. Documents with equal sets are one class, found by
+    a digest before the shuffle, and only classes take part in the rest; rows of one doc_id and different sets are judged
+    each on its own. kept is doc_id = component_id, and false without doc_id. Documents are read again only where a
+    candidate pair has to be verified. Other columns are not read; an empty table gives an empty table.
     """
-    rows = common.written(sketch_documents(documents, rule), "sketches")
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    classes = common.written(classes, "classes")
-    known = classes.where("id is not null").select("a", "b", "id")
-    reps = rows.select("a", "b", F.col("doc_id").alias("id"), "keys").join(known, ["a", "b", "id"]).dropDuplicates(["a", "b", "id"]).select("id", "keys")
-    shared, stars = candidates(reps)
-    stars = common.written(stars, "stars")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        sets = shingle_sets(documents, common.written(ids, "ids"), rule)
-        return common.written(sets, "sets")
-
-    ends = stars.select(F.col("x").alias("id")).unionByName(stars.select(F.col("y").alias("id"))).distinct()
-    links = common.written(verified(stars, sets_of(ends), rule), "verified")
-    labels = components(links)
-    open_rows = unsettled(shared, labels)
-    more = common.written(compared(open_rows, sets_of(open_rows.select("id").distinct()), rule), "more")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    final = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
-    final = common.written(final.select("a", "b", "copies", F.coalesce("label", "id").alias("component")), "components")
-    out = common.join_groups(rows.where("n > 0").select("doc_id", "n", "a", "b"), final, ["a", "b"], "copies")
+    rows, final = linked(documents, rule)
+    out = common.join_groups(rows.where("n > 0").select("doc_id", "n", "a", "b"), final.drop("label"), ["a", "b"], "copies")
     out = out.select("doc_id", "n", F.col("component")).unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-
 def keep_first(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """documents without those that are linked with one of less doc_id; all columns, and rows without doc_id, stay."""
-    found = near_duplicates(documents, rule).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(common.written(found, "near_copies"), "doc_id", "left_anti").select(*documents.columns)
+    """documents with one row of each group of linked rows, that with the least doc_id; all columns stay.
+
+    Rows without doc_id come last: one of them stays only where its whole group has no doc_id. Null and empty texts are
+    linked with nothing and all stay. Only rows whose doc_id may be among those that go are shuffled.
+    """
+    with common.scratch(documents.sparkSession) as kept:
+        rows, final = linked(documents, rule)
+        met = common.join_groups(rows.where("n > 0").select("doc_id", "h", "a", "b"), final.drop("component"), ["a", "b"], "copies")
+        ends = met.groupBy("label", "doc_id", "h").agg(F.count("*").alias("n"))
+        ends = common.written(ends.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")), "ends")
+        first = common.written(ends.groupBy("label").agg(F.min("rank").alias("first"), F.count("*").alias("m")).where("m > 1"), "firsts")
+        gone = common.join_groups(ends, first, ["label"], "m").withColumn("once", F.coalesce(F.col("rank").eqNullSafe(F.col("first")) | F.col("first").isNull(), F.lit(True)))
+        gone = common.written(gone.where("not once or n > 1").select("doc_id", F.col("h").alias("mark"), "once"), "gone")
+        kept.append(gone)
+        return common.without(documents, gone, F.xxhash64("text"), kept)
