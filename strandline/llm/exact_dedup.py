@@ -174,7 +174,8 @@ def matches(snaps: Snapshots, texts: DataFrame) -> DataFrame:
     asked = snaps.groups.select("digest", "batch", "head", F.col("head.doc_id").alias("doc_id")).join(ends, ["digest", "batch"])
     asked = common.written(asked, "asked")
     body = common.divided(texts.select("doc_id", "text"), "doc_id", asked)[0].select("doc_id", normalised(F.col("text")).alias("body"))
-    body = body.withColumn("digest", F.unhex(F.sha2("body", 256)))
+    # Never null, or the join would ask for that, of all texts, before the screen.
+    body = body.withColumn("digest", F.coalesce(F.unhex(F.sha2("body", 256)), F.lit(b"")))
     mine = asked.select("batch", "head", F.col("digest").alias("of"), F.col("doc_id").alias("at"))
     body = body.join(mine, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at")))
     same = body.groupBy("digest", "body").agg(F.min(F.struct("batch", "head")).alias("first"), F.collect_set("batch").alias("batches"))
