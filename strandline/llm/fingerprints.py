@@ -20,9 +20,10 @@ BLOCK = 12
 RETRIES = 3
 ROUNDS = 8
 #: Bounds of the ordering by doc_id: ranges found by quantiles, documents in a bucket, and buckets in all.
-RANGES = 64
-BUCKET_ROWS = 2000
+RANGES = 4096
+BUCKET_ROWS = 250
 MOST_BUCKETS = 100_000
+FOUND = "array<struct<side:int,digest:bigint>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -67,12 +68,15 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(difference: Column, cells: int, seed: int) -> Column:
-    """How many digests two sketches differ by, or -1 if they can't be told apart.
+    """(ok, found): the digests that two sketches differ by, each with its side (1: only the first has it, -1: only the
+    second), and whether that is all of them.
 
     A cell with one digest, known by its check, gives that digest; all such digests are taken out of their cells at once,
-    which leaves further cells with one. It has worked when every cell is empty.
+    which leaves further cells with one. It has worked when every cell is empty. A sketch never gives more digests than it
+    has cells, so it isn't tried where the sizes differ by more.
     """
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("found"))
+    start = F.struct(difference.alias("cells"), F.array().cast(FOUND).alias("found"), F.lit(True).alias("on"))
+    state_type = "struct<cells:array<struct<c:int,k:bigint,s:bigint>>,found:" + FOUND + ",on:boolean>"
 
     def pure(cell: Column) -> Column:
         return (F.abs(cell["c"]) == 1) & (_check(cell["k"]) == cell["s"])
@@ -86,33 +90,61 @@ def peel(difference: Column, cells: int, seed: int) -> Column:
             return F.transform(own, lambda cell, j: F.aggregate(all_, cell, lambda acc, x: F.when(x[f"h{t}"] == j, out(acc, x)).otherwise(acc)))
 
         done = let(placed, lambda all_: F.concat(*[table(all_, t) for t in range(TABLES)]))
-        return F.struct(done.alias("cells"), (state["found"] + F.size(keys)).alias("found"))
+        more = F.transform(keys, lambda x: F.struct(x["c"].alias("side"), x["k"].alias("digest")))
+        return F.struct(done.alias("cells"), F.concat(state["found"], more).alias("found"), F.lit(True).alias("on"))
 
     def turn(state: Column, _: Column) -> Column:
         keys = F.array_distinct(F.filter(state["cells"], pure))
-        return let(keys, lambda k: F.when(F.size(k) == 0, state).otherwise(take(state, k)))
+        stop = F.struct(state["cells"], state["found"], F.lit(False).alias("on"))
+        tried = let(keys, lambda k: F.when(F.size(k) == 0, stop).otherwise(take(state, k)))
+        return F.when(state["on"], tried).otherwise(state).cast(state_type)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
-    return let(end, lambda s: F.when(F.exists(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0)), F.lit(-1)).otherwise(s["found"]))
+    excess = F.aggregate(F.slice(difference, 1, cells), F.lit(0), lambda n, x: n + x["c"])
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start.cast(state_type), turn)
+    ended = let(end, lambda s: F.struct((~F.exists(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0))).alias("ok"), s["found"].alias("found")))
+    failed = F.struct(F.lit(False).alias("ok"), F.array().cast(FOUND).alias("found"))
+    return F.when(F.abs(excess) > TABLES * cells, failed).otherwise(ended)
+
+
+def _side(entries: Column, side: int) -> Column:
+    return F.transform(F.filter(entries, lambda e: e["side"] == side), lambda e: e["digest"])
+
+
+def _blocks(a: Column, b: Column) -> Column:
+    """The digests of both sides in blocks of BLOCK on average by their hashes, each an array of (block, side, digest). They
+    are sorted by block once and cut, so a text of very many paragraphs takes n log n steps."""
+    n = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / BLOCK).cast("int"))
+    entry = lambda side: lambda d: F.struct(F.pmod(F.xxhash64(d, F.lit(99)), n).cast("int").alias("block"), F.lit(side).alias("side"), d.alias("digest"))
+
+    def cut(entries: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(entries) - 1)
+        first = lambda i: (i == 0) | (F.get(entries, i)["block"] != F.get(entries, i - 1)["block"])
+        part = lambda starts: lambda p, j: F.slice(entries, p + 1, F.coalesce(F.get(starts, j + 1), F.size(entries)) - p)
+        return let(F.filter(numbers, first), lambda starts: F.transform(starts, part(starts)))
+
+    return let(F.array_sort(F.concat(F.transform(a, entry(1)), F.transform(b, entry(-1)))), cut)
 
 
 def _attempt(state: Column, pairs: int, cells: int, seed: int) -> Column:
     """Peels what is left of state (found, left) by sketches of these cells; what can't be told apart stays left."""
-    tried = F.transform(state["left"], lambda x: F.struct(peel(subtract(sketch(x["a"], cells, seed), sketch(x["b"], cells, seed)), cells, seed).alias("n"), x.alias("x")))
+    of = lambda x, side: sketch(_side(x["entries"], side), cells, seed)
+    tried = F.transform(state["left"], lambda x: F.struct(peel(subtract(of(x, 1), of(x, -1)), cells, seed).alias("got"), x.alias("x")))
 
     def gained(t: Column, pair: int) -> Column:
-        return F.aggregate(t, state["found"][pair], lambda acc, y: acc + F.when(y["x"]["pair"] == pair, F.greatest(y["n"], F.lit(0))).otherwise(0))
+        new = F.transform(F.filter(t, lambda y: y["got"]["ok"] & (y["x"]["pair"] == pair)), lambda y: y["got"]["found"])
+        return F.concat(state["found"][pair], F.flatten(new))
 
     return let(
         tried,
         lambda t: F.struct(
-            F.array(*[gained(t, p) for p in range(pairs)]).alias("found"), F.transform(F.filter(t, lambda y: y["n"] < 0), lambda y: y["x"]).alias("left")
+            F.array(*[gained(t, p) for p in range(pairs)]).alias("found"), F.transform(F.filter(t, lambda y: ~y["got"]["ok"]), lambda y: y["x"]).alias("left")
         ),
     )
 
 
 def with_differences(rows: DataFrame, own: str, others: list[str], base: str = "_") -> DataFrame:
-    """rows with `_differs`: for each of `others`, how many digests are in just one of it and own.
+    """rows with `_differs`: for each of `others` the digests that are in just one of it and own, as (side, digest), side 1
+    for own; and `_plain`: how many blocks no retry told apart.
 
     The fingerprints' cells (columns named with `base` in front) are subtracted and peeled. Where that fails the digests
     are dealt into blocks, each with a larger sketch of its own; blocks that fail are retried with twice the cells and
@@ -121,26 +153,24 @@ def with_differences(rows: DataFrame, own: str, others: list[str], base: str = "
     """
     firsts = [peel(subtract(F.col(base + own), F.col(base + c)), BASE_CELLS, 0) for c in others]
     rows = rows.withColumn("_first", F.array(*firsts))
-    block = lambda d, n: F.pmod(F.xxhash64(d, F.lit(99)), n)
-    empty = F.array().cast("array<struct<pair:int,a:array<bigint>,b:array<bigint>>>")
+    empty = F.array().cast("array<struct<pair:int,entries:array<struct<block:int,side:int,digest:bigint>>>>")
 
     def dealt(pair: int, c: str) -> Column:
-        n = F.greatest(F.lit(1), F.ceil((F.size(own) + F.size(c)) / BLOCK).cast("int"))
-        part = lambda side, i: F.filter(F.col(side), lambda d: block(d, n) == i)
-        blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit(pair).alias("pair"), part(own, i).alias("a"), part(c, i).alias("b")))
-        return F.when(F.col("_first")[pair] < 0, blocks).otherwise(empty)
+        blocks = F.transform(_blocks(F.col(own), F.col(c)), lambda e: F.struct(F.lit(pair).alias("pair"), e.alias("entries")))
+        return F.when(F.col("_first")[pair]["ok"], empty).otherwise(blocks)
 
-    found = F.transform("_first", lambda n: F.greatest(n, F.lit(0)))
+    found = F.transform("_first", lambda f: F.when(f["ok"], f["found"]).otherwise(F.array().cast(FOUND)))
     rows = rows.withColumn("_state", F.struct(found.alias("found"), F.concat(*[dealt(p, c) for p, c in enumerate(others)]).alias("left")))
     for level in range(RETRIES):
         s = F.col("_state")
         rows = rows.withColumn("_state", F.when(F.size(s["left"]) == 0, s).otherwise(_attempt(s, len(others), RETRY_CELLS << level, level + 1)))
 
     def plain(pair: int) -> Column:
-        more = lambda acc, x: acc + F.when(x["pair"] == pair, F.size(F.array_except(x["a"], x["b"])) + F.size(F.array_except(x["b"], x["a"]))).otherwise(0)
-        return F.aggregate("_state.left", F.col("_state.found")[pair], more)
+        left = F.filter("_state.left", lambda x: x["pair"] == pair)
+        lone = lambda x, side: F.transform(F.array_except(_side(x["entries"], side), _side(x["entries"], -side)), lambda d: F.struct(F.lit(side).alias("side"), d.alias("digest")))
+        return F.concat(F.col("_state.found")[pair], F.flatten(F.transform(left, lambda x: F.concat(lone(x, 1), lone(x, -1)))))
 
-    return rows.withColumn("_differs", F.array(*[plain(p) for p in range(len(others))])).drop("_first", "_state")
+    return rows.withColumns({"_differs": F.array(*[plain(p) for p in range(len(others))]), "_plain": F.size("_state.left")}).drop("_first", "_state")
 
 
 def likeness(a: Column, b: Column, difference: Column) -> Column:
@@ -158,44 +188,59 @@ def fingerprint(base: Column) -> Column:
 # ---- a document, its edited text and the next document ----
 
 
-def with_next(documents: DataFrame) -> DataFrame:
+def _buckets(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with _at and _tie, by which they are ordered, and _bucket, which ascends with them.
+
+    The order is that of descending doc_id, nulls last, then of the texts' hashes. Ranges lie between RANGES quantiles at
+    most, and a doc_id that is two of them has a range of its own. A range is cut evenly by doc_id, that of one doc_id or of
+    none by hash, into buckets of about BUCKET_ROWS rows or what makes MOST_BUCKETS of them.
+    """
+    at = F.bitwise_not(F.col("doc_id"))
+    total = rows.count()
+    cuts = max(1, min(RANGES, total // BUCKET_ROWS))
+    bounds = rows.agg(F.percentile_approx(at, [i / cuts for i in range(cuts + 1)], 10 * RANGES)).first()[0] or [0]
+    lows = sorted(set(bounds) | {v + 1 for v, w in zip(bounds, bounds[1:]) if v == w and v < (1 << 63) - 1})
+    ends = [*lows[1:], min(max(bounds) + 1, (1 << 63) - 1)]
+    each = max(1, min(-(-total // (len(lows) * BUCKET_ROWS)), MOST_BUCKETS // len(lows)))
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  folded to one constant
+    step = 64
+    coarse = F.greatest(F.size(F.filter(longs(lows[::step]), lambda x: x <= F.col("_at"))), F.lit(1)) - 1
+    rows = rows.withColumns({"_at": F.coalesce(at, F.lit(0).cast("long")), "_tie": F.xxhash64("text")}).withColumn("_coarse", coarse)
+    fine = F.greatest(F.size(F.filter(F.slice(longs(lows), F.col("_coarse") * step + 1, step), lambda x: x <= F.col("_at"))), F.lit(1)) - 1
+    rows = rows.withColumn("_range", F.when(F.col("doc_id").isNull(), len(lows)).otherwise(F.col("_coarse") * step + fine).cast("int"))
+    low, end = F.get(longs(lows), F.col("_range")).cast("double"), F.get(longs(ends), F.col("_range")).cast("double")
+    by_id = (F.col("_at").cast("double") - low) / F.greatest(end - low, F.lit(1.0))
+    share = F.when(F.col("doc_id").isNull() | (end - low <= 1), F.col("_tie") / 2.0**64 + 0.5).otherwise(by_id)
+    part = F.least(F.greatest(F.floor(share * each), F.lit(0)), F.lit(each - 1))
+    return rows.withColumn("_bucket", F.col("_range").cast("long") * (1 << 20) + part).drop("_coarse", "_range")
+
+
+def with_next(documents: DataFrame, carried: dict[str, Callable[[Column], Column]] | None = None, kept: list[DataFrame] | None = None) -> DataFrame:
     """(doc_id, text, next_text): next in descending doc_id, after the last the first; nulls count as empty.
 
-    Documents are dealt into buckets of ascending doc_id, and the last of a bucket gets the first of the bucket below from
-    a table of one row per bucket. Buckets are ranges between RANGES quantiles, cut evenly, of about BUCKET_ROWS rows or
-    what makes MOST_BUCKETS of them: that bounds the table, so it is broadcast. Null doc_ids come last; rows of equal
-    doc_id come in order of their texts' hashes, all in one bucket.
+    carried: further columns as functions of the text, computed once for each document; each comes with a column for the
+    next document, next_ in front. Documents are dealt into ordered buckets, and the last of a bucket gets the first of the
+    bucket below from a table of one row per bucket; of that table's keys there are so few (MOST_BUCKETS and the ranges)
+    that they are broadcast and put in order in one task. Null doc_ids come last; rows of equal doc_id come in order of
+    their texts' hashes. Rows are shuffled once.
     """
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total, least, bounds = rows.agg(F.count("*"), F.coalesce(F.min("doc_id"), F.lit(0)), F.percentile_approx("doc_id", [i / RANGES for i in range(RANGES + 1)], 10_000)).first()
-    if not total:
-        return rows.select("doc_id", "text", F.lit("").alias("next_text"))
-    rows = rows.withColumn("_at", F.coalesce("doc_id", F.lit(least - 1).cast("long")))
-    bounds = [least - 1, *(bounds or [])]
-    low = sorted(set(bounds))[:-1] or [bounds[0]]
-    high = max(bounds)
-    ends = [*low[1:], high + 1]
-    per_range = max(1, min(-(-total // (len(low) * BUCKET_ROWS)), MOST_BUCKETS // len(low)))
-    widths = [max(1, -(-(b - a) // per_range)) for a, b in zip(low, ends)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    which = sum(((F.col("_at") >= F.lit(x).cast("long")).cast("int") for x in low[1:]), F.lit(0))
-    rows = rows.withColumn("_range", which)
-    step = F.floor((F.col("_at") - F.get(longs(low), F.col("_range"))) / F.get(longs(widths), F.col("_range")).cast("double"))
-    rows = rows.withColumn("_bucket", F.col("_range").cast("long") * (1 << 32) + F.least(F.greatest(step, F.lit(0)), F.lit(per_range)))
-    heads = common.written(rows.groupBy("_range", "_bucket").agg(F.max("_at").alias("head")), "bucket_heads")
-    tops = {r[0]: r[1] for r in heads.groupBy("_range").agg(F.max("head")).collect()}  # RANGES rows at most
-    ranks = sorted(tops)
-    below = F.create_map(*[F.lit(x) for i, r in enumerate(ranks) for x in (r, tops[ranks[i - 1]])])
-    order = Window.partitionBy("_range").orderBy("_bucket")
-    wanted = heads.select("_bucket", F.coalesce(F.lag("head").over(order), F.element_at(below, F.col("_range"))).alias("_want"))
-    tie = F.xxhash64("text")
-    first = rows.select(F.col("_at").alias("_want"), "text", tie.alias("_tie")).join(F.broadcast(wanted), "_want")
-    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy("_tie"))).where("_n = 1")
-    first = common.written(first.select("_bucket", F.col("text").alias("_below")), "bucket_next")
-    own = Window.partitionBy("_bucket").orderBy(F.col("_at").desc(), F.xxhash64("text"))
-    seen = rows.select("doc_id", "text", "_at", "_bucket").withColumn("_next", F.lead("text").over(own))
+    rows = _buckets(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    named = {"text": F.col("text")} | {k: f(F.col("text")) for k, f in (carried or {}).items()}
+    heads = common.written(rows.groupBy("_bucket").agg(F.min(F.struct("_at", "_tie")).alias("head")), "bucket_heads")
+    order = Window.orderBy("_bucket")
+    one = F.struct("_bucket", "head")
+    wanted = heads.select(F.col("_bucket").alias("_above"), F.coalesce(F.lead(one).over(order), F.first(one).over(order)).alias("w"))
+    wanted = wanted.select("_above", F.col("w._bucket"), F.col("w.head._at"), F.col("w.head._tie"))
+    first = rows.join(F.broadcast(wanted), ["_bucket", "_at", "_tie"]).groupBy("_above").agg(F.first("text").alias("text"))
+    first = common.written(first.select(F.col("_above").alias("_bucket"), F.struct(*[c.alias(k) for k, c in named.items()]).alias("_below")), "bucket_next")
+    if kept is not None:  # of a scratch block
+        kept.append(first)
+    own = Window.partitionBy("_bucket").orderBy("_at", "_tie")
+    seen = rows.select("doc_id", "_at", "_tie", "_bucket", *[c.alias(k) for k, c in named.items()])
+    seen = seen.withColumns({f"next_{k}": F.lead(k).over(own) for k in named})
     # The window has dealt the rows by bucket already, so this join moves the small table only.
-    return seen.join(first, "_bucket", "left").select("doc_id", "text", F.coalesce("_next", "_below").alias("next_text"))
+    seen = seen.join(first, "_bucket", "left")
+    return seen.select("doc_id", *named, *[F.coalesce(f"next_{k}", f"_below.{k}").alias(f"next_{k}") for k in named])
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -212,15 +257,15 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     A null text is empty, has no digest and an all-zero fingerprint. Equal texts have equal fingerprints. Other columns
     are not read; an empty table gives an empty table. Texts are shuffled once.
     """
-    rows = with_next(documents).withColumn("edit", edited(F.col("text"), F.col("next_text")))
+    of_text = {"own": digests, "_own": lambda text: sketch(digests(text), BASE_CELLS, 0)}
+    with common.scratch(documents.sparkSession) as kept:
+        rows = with_next(documents, of_text, kept).withColumn("edit", edited(F.col("text"), F.col("next_text")))
     rows = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"), digests(F.col("edit")).alias("new"), digests(F.col("next_text")).alias("next"),
+        "own", "_own", digests(F.col("edit")).alias("new"), F.col("next_own").alias("next"), F.col("next__own").alias("_next"),
     )
-    base = lambda c: sketch(F.col(c), BASE_CELLS, 0)
-    rows = rows.withColumns({"_own": base("own"), "_new": base("new"), "_next": base("next")})
-    rows = with_differences(rows, "own", ["new", "next"])
-    near = lambda k, other: likeness(F.col("own"), F.col(other), F.col("_differs")[k])
+    rows = with_differences(rows.withColumn("_new", sketch(F.col("new"), BASE_CELLS, 0)), "own", ["new", "next"])
+    near = lambda k, other: likeness(F.col("own"), F.col(other), F.size(F.col("_differs")[k]))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_new")).alias("edited_fingerprint"),
         near(0, "new").alias("near_edited"), near(1, "next").alias("near_next"),
