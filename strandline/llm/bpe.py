@@ -17,8 +17,9 @@ SHORT = 128
 #: Ids are below 2 ** BITS. A pair is one number, and so are a rank and the id that its merge makes.
 BITS = 20
 NEVER = 1 << 60
-#: Words that a worker remembers; the memory is emptied when it is full.
+#: Words that a worker remembers, and characters that one of them has at most; the memory is emptied when it is full.
 REMEMBERED = 250_000
+REMEMBERED_LENGTH = 64
 
 # Fixed values of the vocabulary's file format: white space of the normaliser, and the pattern that finds words.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -112,9 +113,10 @@ class WordBpe:
             raw = word.encode()
             start = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
             got = self.merge([p for p in start if p is not None])
-            if len(self._parts) >= REMEMBERED:
-                self._parts.clear()
-            self._parts[word] = got
+            if len(word) <= REMEMBERED_LENGTH:
+                if len(self._parts) >= REMEMBERED:
+                    self._parts.clear()
+                self._parts[word] = got
         return got
 
     # ---- whole texts ----
@@ -157,29 +159,29 @@ class WordBpe:
 
     def _remember(self, chunk: str) -> tuple[str, int, str]:
         ids = self._chunk(chunk)
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        got = self._known[chunk] = (" ".join([self.numbers[i] for i in ids]), len(ids), self.decode(ids))
+        got = (" ".join([self.numbers[i] for i in ids]), len(ids), self.decode(ids))
+        if len(chunk) <= REMEMBERED_LENGTH:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            self._known[chunk] = got
         return got
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded text).
 
-        Encodes and decodes chunk by chunk: neither merges nor the joined tokens reach over white space.
+        Encodes and decodes chunk by chunk: neither merges nor the joined tokens reach over white space. What a chunk
+        without ids leaves is empty and is left out.
         """
-        n, ids, words = 0, [], []
+        got: list[tuple[str, int, str]] = []
         known = self._known.get
         for part, special in self._segments(text or ""):
             if special:
-                got = [(str(self.special[part]), 1, part)]
+                got.append((str(self.special[part]), 1, part))
             else:
-                got = [known(c) or self._remember(c) for c in self._chunks(part)]
-            for a, k, b in got:
-                if k:
-                    n += k
-                    ids.append(a)
-                    words.append(b)
-        return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(words).encode()).hexdigest()
+                got += [known(c) or self._remember(c) for c in self._chunks(part)]
+        ids, counts, words = zip(*got) if got else ((), (), ())
+        digest = lambda parts: hashlib.sha256(" ".join(filter(None, parts)).encode()).hexdigest()
+        return sum(counts), digest(ids), digest(words)
 
 
 _LOADED: dict[str, WordBpe] = {}

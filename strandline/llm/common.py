@@ -99,19 +99,18 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", hot_share: float = 0.001) -> DataFrame:
     """rows joined (left or inner) to one group row per key, where `size` is how many rows the key has.
 
-    Keys with at least `hot_share` of all rows are at most 1 / hot_share many: they are broadcast. All other keys meet
-    in a shuffle join in which no key has more than that share. groups should be a written table, as it is read three times.
+    Keys with at least `hot_share` of all rows are at most 1 / hot_share many: they are known to the driver by a hash and
+    their groups are broadcast. All others meet in a shuffle join in which no key has more than that share. groups should
+    be a written table, as it is read four times; its keys must have the types that they have in rows.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     least = max(1000, int(total * hot_share))
-    hot, cold = groups.where(F.col(size) >= least), groups.where(F.col(size) < least)
-    if not hot.limit(1).count():
+    key = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.where(F.col(size) >= least).select(key).collect()]
+    if not hot:
         return rows.join(groups, keys, how)
-    other = [c for c in groups.columns if c not in keys]
-    near = rows.join(F.broadcast(hot.withColumn("_strandline_hot", F.lit(True))), keys, "left")
-    met = near.where("_strandline_hot").drop("_strandline_hot")
-    rest = near.where("_strandline_hot is null").drop("_strandline_hot", *other).join(cold, keys, how)
-    return met.unionByName(rest)
+    met = rows.where(key.isin(hot)).join(F.broadcast(groups.where(key.isin(hot))), keys, how)
+    return met.unionByName(rows.where(~key.isin(hot)).join(groups.where(~key.isin(hot)), keys, how))
 
 
 def divided(rows: DataFrame, key: str, wanted: DataFrame, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:

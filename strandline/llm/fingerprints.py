@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,12 +197,14 @@ def _buckets(rows: DataFrame) -> DataFrame:
     none by hash, into buckets of about BUCKET_ROWS rows or what makes MOST_BUCKETS of them.
     """
     at = F.bitwise_not(F.col("doc_id"))
-    total = rows.count()
+    total, known = rows.agg(F.count("*"), F.count("doc_id")).first()
     cuts = max(1, min(RANGES, total // BUCKET_ROWS))
     bounds = rows.agg(F.percentile_approx(at, [i / cuts for i in range(cuts + 1)], 10 * RANGES)).first()[0] or [0]
     lows = sorted(set(bounds) | {v + 1 for v, w in zip(bounds, bounds[1:]) if v == w and v < (1 << 63) - 1})
     ends = [*lows[1:], min(max(bounds) + 1, (1 << 63) - 1)]
-    each = max(1, min(-(-total // (len(lows) * BUCKET_ROWS)), MOST_BUCKETS // len(lows)))
+    room = max(BUCKET_ROWS, -(-total // MOST_BUCKETS))
+    shares = Counter(bounds)
+    many = [max(1, -(-known * n // (cuts * room))) for n in (max(1, shares[v]) for v in lows)] + [max(1, -(-(total - known) // room))]
     longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  folded to one constant
     step = 64
     coarse = F.greatest(F.size(F.filter(longs(lows[::step]), lambda x: x <= F.col("_at"))), F.lit(1)) - 1
@@ -211,7 +214,8 @@ def _buckets(rows: DataFrame) -> DataFrame:
     low, end = F.get(longs(lows), F.col("_range")).cast("double"), F.get(longs(ends), F.col("_range")).cast("double")
     by_id = (F.col("_at").cast("double") - low) / F.greatest(end - low, F.lit(1.0))
     share = F.when(F.col("doc_id").isNull() | (end - low <= 1), F.col("_tie") / 2.0**64 + 0.5).otherwise(by_id)
-    part = F.least(F.greatest(F.floor(share * each), F.lit(0)), F.lit(each - 1))
+    each = F.get(longs(many), F.col("_range"))
+    part = F.least(F.greatest(F.floor(share * each), F.lit(0)), each - 1)
     return rows.withColumn("_bucket", F.col("_range").cast("long") * (1 << 20) + part).drop("_coarse", "_range")
 
 

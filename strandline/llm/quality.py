@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .words import Texts, chunks, words
 
-#: Bounds of the training sample: labelled documents, and bytes of text that one of them may have.
+#: Bounds of the training sample: labelled documents, and lines of all of them.
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 60_000
+SAMPLE_LINES = 200_000
 THRESHOLD = 0.3
 
 NAMES = (
@@ -216,16 +217,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> LineField | None:
-    """A field from at most `rows` labelled documents that are not held out, those whose hashed doc_id is least.
+def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_lines: int = SAMPLE_LINES) -> LineField | None:
+    """A field from at most `rows` labelled documents that are not held out, those whose hashed doc_id is least, with all of
+    their lines, as long as these are at most `most_lines` together: in the order of the hashes a document that would
+    exceed that is passed over (a row that repeats one counts again).
 
-    The ids are bounded by `rows` and so are broadcast; documents over `most_bytes` are left out of the sample (of the
-    sample only). A doc_id that is labelled more than once has its least label. None if there is no labelled document.
+    The ids are bounded by `rows` and so are broadcast; what is collected is bounded by both (FEATURES numbers a line). A
+    doc_id that is labelled more than once has its least label. None if there is no labelled document.
     """
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     ids = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    sample = text.where(F.octet_length("text") <= most_bytes).select("doc_id", "quality", "text")
+    text = common.written(text, "labelled_texts")
+    counted = text.groupBy(F.xxhash64("doc_id").alias("h"), "doc_id").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    taken, total = [], 0
+    for r in counted.orderBy("h", "doc_id").limit(rows).collect():
+        if total + r.lines <= most_lines:
+            taken.append(r.doc_id)
+            total += r.lines
+    if not taken:
+        return None
+    sample = text.where(F.col("doc_id").isin(taken)).select("doc_id", "quality", "text")
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def run(batches):

@@ -20,6 +20,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Matches of a text that are worked on together.
+TOGETHER = 64
 
 
 @dataclass(frozen=True)
@@ -83,6 +85,16 @@ def ordinary_samples(texts: DataFrame) -> DataFrame:
 # ---- spans ----
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """items in arrays of TOGETHER."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(TOGETHER)), lambda i: F.slice(items, i + 1, TOGETHER))
+
+
 def _spans(text: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
     """(start, kind, end) of the pattern's leftmost matches that do not overlap and whose group has `least` characters.
 
@@ -94,16 +106,27 @@ def _spans(text: Column, pattern: str, kind: int, least: int, group: int = 0) ->
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     parts = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), inner.alias("inner"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    sizes = F.transform(parts, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("whole"), F.length(x["inner"]).alias("inner")))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
+        start = acc["at"] + x["gap"]
+        end = start + x["whole"]
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["inner"]) >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(x["inner"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    def of_block(start: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    def of_all(all_: Column) -> Column:
+        # Appending copies, so spans are gathered in blocks, from where each block starts.
+        blocks = _blocks(all_)
+        length = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["whole"], F.lit(0)))
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + length(b))))
+        several = _let(starts, lambda at: F.flatten(F.transform(blocks, lambda b, i: of_block(F.get(at, i), b))))
+        return F.when(F.size(all_) <= TOGETHER, of_block(F.lit(0), all_)).otherwise(several)
 
-    found = F.aggregate(parts, zero, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), _let(sizes, of_all)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -152,11 +175,15 @@ def find_secrets(documents: DataFrame, model: MarkovRatio | None, margin: float
     if model is None:
         return out.withColumn("spans", F.col("base"))
     runs = _spans(text, CANDIDATE, 3, 1)
-    pieces = F.filter(F.flatten(F.transform(runs, lambda s: _uncovered(s, F.col("base")))), lambda s: s["end"] - s["start"] >= LEAST)
-    out = out.withColumn("_more", F.when(F.size("base") > 0, pieces).otherwise(runs))
+    reach = F.transform(_blocks(F.col("base")), lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans")))
+    near = lambda r: lambda run: F.flatten(F.transform(F.filter(r, lambda b: (b["low"] < run["end"]) & (b["high"] > run["start"])), lambda b: b["spans"]))
+    pieces = _let(reach, lambda r: F.flatten(F.transform(runs, lambda s: _uncovered(s, near(r)(s)))))
+    pieces = F.filter(pieces, lambda s: s["end"] - s["start"] >= LEAST)
+    out = out.withColumn("_strandline_more", F.when(F.size("base") > 0, pieces).otherwise(runs))
     token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    more = F.filter("_more", lambda s: score_of(token(s), model) >= margin)
-    return out.withColumn("spans", F.when(F.size("_more") > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base"))).drop("_more")
+    more = F.filter("_strandline_more", lambda s: score_of(token(s), model) >= margin)
+    spans = F.when(F.size("_strandline_more") > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base"))
+    return out.withColumn("spans", spans).drop("_strandline_more")
 
 
 def written_spans(spans: Column) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BAD = "label=bad"
+#: Rows of the inverted index up to which it is broadcast, and how often a larger one is dealt out.
+INDEX_ROWS = 100_000
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -93,10 +96,15 @@ def matched(pages: DataFrame, key: str, rules: DataFrame) -> DataFrame:
 
     pages: (key, tokens), one row per key. An inverted index, token to the rules that have it, meets the pages' tokens; a
     rule holds where as many of its tokens were met as it needs. Only tokens of some rule are met at all: a page
-    contributes a row for each rule that shares a token with it.
+    contributes a row for each rule that shares a token with it. rules should be a written table.
     """
     index = rules.select(F.explode("rule").alias("token"), F.col("rule"), "need", "confidence")
-    met = pages.select(key, F.explode("tokens").alias("token")).join(index, "token")
+    asked = pages.select(key, F.explode("tokens").alias("token"))
+    if index.limit(INDEX_ROWS + 1).count() <= INDEX_ROWS:
+        met = asked.join(F.broadcast(index), "token")
+    else:  # a token that most pages have is dealt out over SALTS tasks, each with its part of the index
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = asked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).drop("salt")
     whole = met.groupBy(key, "rule", "need", "confidence").agg(F.count("*").alias("n")).where("n = need")
     best = whole.groupBy(key).agg(F.max(F.struct("confidence", "rule")).alias("_best"))
     return best.select(key, F.col("_best.rule").alias("mined_rule"), F.col("_best.confidence").alias("confidence"))

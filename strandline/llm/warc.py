@@ -27,6 +27,9 @@ CRLF = b"\r\n"
 ARCHIVE_BYTES = 48 << 20
 DICTIONARY_BYTES = 16 << 10
 TRAINING_BYTES = 1 << 20
+#: Bytes of a record that are one sample, and samples that a dictionary is trained on at least.
+SLICE_BYTES = 16 << 10
+LEAST_SLICES = 8
 LEVEL = 3
 
 
@@ -93,25 +96,27 @@ def _page_id(urn: bytes) -> int | None:
 
 
 def dictionary_of(records: list[bytes]) -> bytes:
-    """A dictionary from evenly spaced records of an archive, about TRAINING_BYTES of them; empty if they are too few."""
-    step = max(1, sum(map(len, records)) // TRAINING_BYTES)
-    sample = [r for r in records[::step] if len(r) <= 64 << 10]
+    """A dictionary from slices of an archive's records, evenly spaced, about TRAINING_BYTES of them. Where there are too few
+    of them, or they are too alike, to train one, the last slices are themselves the dictionary's content."""
+    slices = [r[i : i + SLICE_BYTES] for r in records for i in range(0, len(r), SLICE_BYTES)]
+    sample = slices[:: max(1, sum(map(len, records)) // TRAINING_BYTES)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=200, d=8).as_bytes() if len(sample) >= 8 else b""
-    except zstandard.ZstdError:  # records too few or too alike to learn from
-        return b""
+        if len(sample) >= LEAST_SLICES:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=200, d=8).as_bytes()
+    except zstandard.ZstdError:
+        pass
+    return b"".join(sample)[-DICTIONARY_BYTES:]
 
 
 def write_archive(path: str, records: list[bytes]) -> None:
     """Writes an archive under another name and renames it, so a task that is lost or run twice leaves no half file."""
     fs, at = open_fs(path)
     trained = dictionary_of(records)
-    shared = zstandard.ZstdCompressionDict(trained) if trained else None
+    shared = zstandard.ZstdCompressionDict(trained)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
     fs.create_dir(posixpath.dirname(at), recursive=True)
     with fs.open_output_stream(draft := f"{at}.{uuid.uuid4().hex[:8]}.part", compression=None) as out:
-        if trained:
-            out.write(struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained)
+        out.write(struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained)
         for r in records:
             out.write(packer.compress(r))
     fs.move(draft, at)
@@ -121,13 +126,10 @@ def read_archive(path: str, chunk: int = 1 << 20) -> Iterator[Record]:
     """The records of an archive, one after the other; no more than one record and a chunk are in memory."""
     fs, at = open_fs(path)
     with fs.open_input_stream(at, compression=None) as f:
-        pending = f.read(chunk)
-        shared = None
-        if len(pending) >= 8 and struct.unpack_from("<I", pending)[0] == DICTIONARY_MAGIC:
-            size = struct.unpack_from("<I", pending, 4)[0]
-            while len(pending) < 8 + size:
-                pending += f.read(chunk)
-            shared, pending = zstandard.ZstdCompressionDict(pending[8 : 8 + size]), pending[8 + size :]
+        magic, size = struct.unpack("<II", f.read(8))
+        if magic != DICTIONARY_MAGIC:
+            raise ValueError(f"{path} has no dictionary")
+        shared, pending = zstandard.ZstdCompressionDict(f.read(size)), b""
         unpacker = zstandard.ZstdDecompressor(dict_data=shared)
         one, out, begun = unpacker.decompressobj(), [], False
         while pending or (pending := f.read(chunk)):

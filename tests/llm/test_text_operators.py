@@ -1,6 +1,7 @@
 """Secrets, sharding, packing, coding, quality and fingerprints against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -260,3 +261,109 @@ def test_empty_tables(spark, documents, labels):
     assert bpe.digest_documents(none, vocabulary("word_bpe_49k.json")).count() == 0
     assert secrets.find_secrets(none, secrets.model_from(none, labels)).count() == 0
     assert quality.keep_good(none, labels).count() == 0
+
+
+def test_texts_of_many_secrets(spark, model):
+    """More matches than are worked on together, of all kinds, with random strings between them."""
+    key = "aZ3kQ9xT0pLm2vB8nR5wYc7D"
+    text = " ".join(f"secret=abcdefghijkl{k:03} {'0123456789abcdef' * 2}-{key} AKIAABCDEFGHIJKLMN{k % 10}É" for k in range(200))
+    df = spark.createDataFrame([(1, text), (2, f"{key} " * 300)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.find_secrets(df, model).collect()}
+    assert [tuple(s) for s in got[1].base] == plain_spans(text) and len(got[1].base) == 600
+    assert [text[s.start : s.end] for s in got[1].spans if s.kind == 3] == [f"-{key}"] * 200
+    assert [(s.start, s.kind, s.end) for s in got[2].spans] == [(25 * k, 3, 25 * k + 24) for k in range(300)]
+
+
+def test_random_strings_and_ordinary_ones_are_told_apart(spark):
+    """Precision and recall of the production model at its margin on strings of 13 to 40 characters: random ones of four
+    alphabets, and names made of words of documents that it hasn't learned from."""
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = secrets.model_from(docs, labels)
+    learned = labels.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(200)
+    words = sorted({w for r in docs.join(learned, "doc_id", "left_anti").where("lang = 'en'").select("text").limit(300).collect() for w in re.findall("[A-Za-z]{3,}", r.text or "")})
+    rng = random.Random(4)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    sets = [base62, base62 + "-_", base62[:52], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    keys = [(k % 4, "".join(rng.choices(sets[k % 4], k=rng.randint(13, 40)))) for k in range(800)]
+    w = lambda: rng.choice(words)
+    forms = [lambda: f"{w()}_{w()}_{w()}".lower(), lambda: (w().title() + w().title() + w().title()), lambda: f"{w()}-{w()}-{w()}", lambda: f"/{w()}/{w()}/{w()}", lambda: f"{w()}_{w()}".upper(), lambda: f"{w()}_{w()}-{rng.randint(1000, 9999)}"]
+    names = [f for k in range(1200) if 13 <= len(f := forms[k % len(forms)]()) <= 40]
+    hits, false = sum(model.score(k) >= 0.5 for _, k in keys), sum(model.score(n) >= 0.5 for n in names)
+    assert hits / len(keys) >= 0.95 and hits / (hits + false) >= 0.95, (hits, len(keys), false, len(names))
+
+
+def test_very_long_texts_are_tokenized_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    own, t = packing.ByteTokenizer(path), Tokenizer.from_file(path)
+    for text in ("The cat, 12! " * 90_000, "a" * 1_200_000, " " * 1_500_000 + "x", "ab" + "\n" * 1_100_000 + "c"):
+        assert np.array_equal(own.ids(text), t.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_words_are_not_remembered():
+    own = bpe.WordBpe(vocabulary("word_bpe_49k.json"))
+    text = "short " + "x" * 5000 + " " + "y!" * 4000
+    own.digest(text)
+    assert max(map(len, [*own._known, *own._parts])) <= bpe.REMEMBERED_LENGTH
+
+
+def test_the_training_sample_is_bounded_by_lines(spark):
+    docs = spark.createDataFrame([(i, "\n" * 400 if i % 2 else f"some words of line {i}\nand one more.") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    few, all_ = quality.train(docs, labels, most_lines=900), quality.train(docs, labels)
+    assert few is not None and all_ is not None and not np.allclose(few.emit, all_.emit)
+    assert quality.train(docs, labels, most_lines=1) is None
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, all_).collect()}
+    assert all((s >= 0.3) == (i % 2 == 0) for i, s in got.items())
+
+
+def test_peeling_recovers_the_digests_that_differ(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        a = [rng.getrandbits(62) for _ in range(rng.choice([0, 1, 5, 30, 400]))]
+        b = [x for x in a if rng.random() < rng.choice([0.2, 0.9, 1.0])] + [rng.getrandbits(62) for _ in range(rng.choice([0, 1, 3, 50]))]
+        rows.append((k, a, b))
+    rows.append((99, [1, 2, 3], [1, 2, 3]))
+    df = spark.createDataFrame(rows, "k long, a array<long>, b array<long>")
+    df = df.withColumns({"_a": fingerprints.sketch(F.col("a"), fingerprints.BASE_CELLS, 0), "_b": fingerprints.sketch(F.col("b"), fingerprints.BASE_CELLS, 0)})
+    got = {r.k: r for r in fingerprints.with_differences(df, "a", ["b"]).collect()}
+    for k, a, b in rows:
+        assert {(d.side, d.digest) for d in got[k]._differs[0]} == {(1, x) for x in set(a) - set(b)} | {(-1, x) for x in set(b) - set(a)}
+        assert len(got[k]._differs[0]) == len(set(a) ^ set(b)) and got[k]._plain == 0
+
+
+def test_texts_of_very_many_paragraphs(spark):
+    rows = [(1, "\n".join(f"line {i}" for i in range(30_000))), (2, "\n".join(f"line {i}" for i in range(15_000, 40_000)))]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next == got[2].near_next == pytest.approx(15_000 / 40_000)
+
+
+@pytest.mark.parametrize("shape", ["even", "clustered", "one", "none"])
+def test_next_documents_in_any_order_of_ids(spark, shape):
+    rng = random.Random(2)
+    ids = {"even": lambda k: k, "clustered": lambda k: k if k % 10 else 10**17 + 7 * k, "one": lambda k: 5 if k % 3 else k, "none": lambda k: None if k % 3 else k}[shape]
+    rows = [(ids(k), f"text {k}") for k in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.with_next(df).collect()
+    assert len(got) == len(rows)
+    after, doc = {r.text: r.next_text for r in got}, {t: i for i, t in rows}
+    assert sorted(after.values()) == sorted(after)
+    at, chain = got[0].text, []
+    for _ in rows:
+        chain.append(at)
+        at = after[at]
+    assert at == chain[0] and len(set(chain)) == len(rows)
+    order = [doc[t] for t in chain]
+    key = lambda i: (i is None, -(i or 0))
+    falls = sum(key(a) > key(b) for a, b in zip(order, order[1:] + order[:1]))
+    assert falls == 1
+    sizes = [r["count"] for r in fingerprints._buckets(df).groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 5 * fingerprints.BUCKET_ROWS
