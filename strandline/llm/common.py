@@ -96,19 +96,25 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
                 _SCRATCH[-1].append(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", hot_share: float = 0.001) -> DataFrame:
+def hot_keys(groups: DataFrame, keys: list[str], size: str, least: int = 1000, most: int = 1000) -> list[int]:
+    """Hashes of the keys of the `most` largest groups of `least` rows or more, `size` being how many rows a group has. No
+    other group has more than a share of 1 / most of all rows."""
+    largest = groups.where(F.col(size) >= least).orderBy(F.desc(size)).limit(most)
+    return [r[0] for r in largest.select(F.xxhash64(*keys)).collect()]
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", hot: list[int] | None = None) -> DataFrame:
     """rows joined (left or inner) to one group row per key, where `size` is how many rows the key has.
 
-    Keys with at least `hot_share` of all rows are at most 1 / hot_share many: they are known to the driver by a hash and
-    their groups are broadcast. All others meet in a shuffle join in which no key has more than that share. groups should
-    be a written table, as it is read four times; its keys must have the types that they have in rows.
+    Hot keys (see hot_keys; they may be given) are known to the driver by a hash, and their groups, a thousand at most, are
+    broadcast. All others meet in a shuffle join. groups should be a written table, as it is read three times; its keys
+    must have the types that they have in rows.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    least = max(1000, int(total * hot_share))
-    key = F.xxhash64(*keys)
-    hot = [r[0] for r in groups.where(F.col(size) >= least).select(key).collect()]
+    if hot is None:
+        hot = hot_keys(groups, keys, size)
     if not hot:
         return rows.join(groups, keys, how)
+    key = F.xxhash64(*keys)
     met = rows.where(key.isin(hot)).join(F.broadcast(groups.where(key.isin(hot))), keys, how)
     return met.unionByName(rows.where(~key.isin(hot)).join(groups.where(~key.isin(hot)), keys, how))
 

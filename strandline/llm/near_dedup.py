@@ -180,6 +180,19 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def joined_by(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels (node, label) of components once the links more (x, y) are added. Only components, not nodes, are linked."""
+    at = lambda c: F.coalesce("label", F.col(c)).alias(c)
+    ends = more.join(labels, more["x"] == labels["node"], "left").select(at("x"), "y")
+    ends = ends.join(labels, ends["y"] == labels["node"], "left").select("x", at("y")).where("x <> y")
+    moved = components(ends)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("m"))
+    step = common.written(moved.select(F.col("node").alias("label"), F.col("label").alias("to")).join(sizes, "label", "left"), "moved")
+    old = common.join_groups(labels, step, ["label"], "m").select("node", F.coalesce("to", "label").alias("label"))
+    new = step.where("m is null").select(F.col("label").alias("node"), F.col("to").alias("label"))  # nodes that had no link
+    return common.written(old.unionByName(new), "labels")
+
+
 def _contracted(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One round of `components`: (links between what is left, labels so far)."""
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -187,8 +200,9 @@ def _contracted(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     near = common.written(near.withColumn("to", F.least("x", "to")), "near")
     again = near.select(F.col("x").alias("to"), F.col("to").alias("far"))
     hop = common.written(near.join(again, "to").select("x", F.col("far").alias("to"), "n"), "hop")
-    moved = common.join_groups(links, hop, ["x"], "n").select("y", F.col("to").alias("p"))
-    moved = common.join_groups(moved, hop.withColumnRenamed("x", "y"), ["y"], "n").select(F.col("p").alias("x"), F.col("to").alias("y"))
+    hot = common.hot_keys(hop, ["x"], "n")
+    moved = common.join_groups(links, hop, ["x"], "n", hot=hot).select("y", F.col("to").alias("p"))
+    moved = common.join_groups(moved, hop.withColumnRenamed("x", "y"), ["y"], "n", hot=hot).select(F.col("p").alias("x"), F.col("to").alias("y"))
     counted = labels.groupBy("label").agg(F.count("*").alias("m"))
     step = hop.where("x <> to").select(F.col("x").alias("label"), "to").join(counted, "label")
     labels = common.written(common.join_groups(labels, step, ["label"], "m").select("node", F.coalesce("to", "label").alias("label")), "labels")
@@ -316,8 +330,7 @@ def linked(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         open_rows = unsettled(shared, labels)
         if open_rows.limit(1).count():
             more = common.written(compared(open_rows, sets_of(open_rows.select("node").distinct()), rule), "more")
-            if more.limit(1).count():
-                labels = components(links.unionByName(more))
+            labels = joined_by(labels, more)
         known = classes.select("node", "a", "b", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         known = common.written(known, "labelled")
         least = common.written(known.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("m")), "least")
