@@ -107,3 +107,22 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 def strip_place(x: Column, y: Column, width: int, rows: int) -> Column:
     """Place of cell (x, y) when strips of `rows` rows are walked column by column."""
     return F.floor(y / rows) * (rows * width) + x * rows + y % rows
+
+
+def _packed(bits: Column, unit: int, digits) -> Column:
+    """Bits, a string of 0 and 1, in units of `unit` bits, the last filled with 0; digits: hex digits of a unit's bits."""
+    n = F.ceil(F.length(bits) / unit).cast("int")
+    part = lambda k: F.rpad(F.substring(bits, k * unit + 1, F.lit(unit)), unit, "0")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: digits(part(k)))
+    return F.when(F.length(bits) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(parts, "")))
+
+
+def packed_lsb(bits: Column, unit: int = 8) -> Column:
+    """Bits packed in bytes or, with a unit of 32, in little-endian words, the first in the lowest place."""
+    byte = lambda b, k: F.lpad(F.conv(F.reverse(F.substring(b, 8 * k + 1, 8)), 2, 16), 2, "0")
+    return _packed(bits, unit, lambda b: F.concat(*[byte(b, k) for k in range(unit // 8)]))
+
+
+def packed_msb(bits: Column) -> Column:
+    """Bits packed in bytes, the first in the highest place."""
+    return _packed(bits, 8, lambda b: F.lpad(F.conv(b, 2, 16), 2, "0"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,18 @@ def split_runs(runs_: DataFrame, most: int) -> DataFrame:
     pieces = F.explode(F.sequence(F.lit(0), F.floor((F.col("run_len") - 1) / most))).alias("piece")
     out = runs_.select("cell", "run", "symbol", "run_len", pieces)
     return out.select("cell", "run", "symbol", "piece", F.least(F.lit(most), F.col("run_len") - F.col("piece") * most).cast("long").alias("piece_len"))
+
+
+def epoch_batches(rows: DataFrame, place: str, size: int, epoch: int) -> DataFrame:
+    """rows with chunk and batch: contiguous chunks of `size` places from an offset that depends on the epoch, and their
+    number in the epoch's shuffled order. The order is one row per chunk; it is dealt into ranges by the digest's first
+    digits and counted range by range, so no task sorts all chunks."""
+    offset = int(md5(f"epoch {epoch}".encode()).hexdigest()[:4], 16) % size
+    out = rows.withColumn("chunk", F.floor((F.col(place) + offset) / size))
+    order = out.select("chunk").distinct().withColumn("key", F.md5(F.concat("chunk", F.lit(f"/{epoch}"))))
+    order = order.withColumn("range", F.substring("key", 1, 3))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 4096 ranges
+    sizes = order.groupBy("range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("range").orderBy("key")
+    ranked = order.withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(sizes.select("range", "start")), "range")
+    return out.join(ranked.select("chunk", (F.col("start") + F.col("at")).alias("batch")), "chunk")

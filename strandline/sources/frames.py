@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .binary import records
+
 
 def _records(files: DataFrame, body: Column, size: Column, name: str) -> DataFrame:
     """(path, name, data): the whole records of each body; a rest that is no whole record is left out."""
@@ -15,9 +17,8 @@ def _records(files: DataFrame, body: Column, size: Column, name: str) -> DataFra
 
 
 def frames(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
-    """(path, frame, data) of files of gray frames without a header."""
-    files = spark.read.format("binaryFile").load(path)
-    return _records(files, F.col("content"), F.lit(width * height), "frame")
+    """(path, frame, data) of files of gray frames without a header; large files are read in ranges, by many tasks."""
+    return records(spark, path, width * height).withColumnRenamed("record", "frame")
 
 
 def headed_frames(spark: SparkSession, path: str) -> DataFrame:

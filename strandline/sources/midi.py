@@ -96,3 +96,12 @@ def quantized(notes_: DataFrame, step: int = 120) -> DataFrame:
     steps = lambda c, most: F.least(F.lit(most), F.round(c / step)).cast("int")
     gap = F.coalesce(F.lead("on").over(w) - F.col("on"), F.lit(0))
     return n.select("path", (F.row_number().over(w) - 1).alias("place"), "note", steps(F.col("off") - F.col("on"), 31).alias("len"), steps(gap, 7).alias("run"))
+
+
+def sixteenths(notes_: DataFrame, by: str, step: int = 120) -> DataFrame:
+    """notes_ (by, on, off, track, note) with len and run in whole steps: a length of more than 32 steps counts as 12, a gap of
+    eight or more as 7, and both are counted one tick long; len is one less than the steps. The last note's gap is 0."""
+    w = Window.partitionBy(by).orderBy("on", "track", "note", "off")
+    gap = F.floor((F.coalesce(F.lead("on").over(w), F.col("on") - 1) - F.col("on") + 1) / step)
+    length = F.floor((F.col("off") - F.col("on") + 1) / step) - 1
+    return notes_.withColumn("len", F.when(length > 31, 11).otherwise(length).cast("long")).withColumn("run", F.when(gap >= 8, 7).otherwise(gap).cast("long"))
