@@ -126,3 +126,55 @@ def packed_lsb(bits: Column, unit: int = 8) -> Column:
 def packed_msb(bits: Column) -> Column:
     """Bits packed in bytes, the first in the highest place."""
     return _packed(bits, 8, lambda b: F.lpad(F.conv(b, 2, 16), 2, "0"))
+
+
+def four_levels(v: Column) -> Column:
+    """A value from 0 to 1 as one of four levels, the top two bits of its byte."""
+    return F.shiftright(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v * 255))).cast("int"), 6)
+
+
+def half_levels(v: Column) -> Column:
+    """A value in halves; a tie goes to the even one."""
+    return F.bround(v * 2, 0) / 2
+
+
+def box_of(at: Column, size: int, boxes: int) -> Column:
+    """The box that a place below `size` is in, box k being from k * size // boxes to (k + 1) * size // boxes."""
+    return F.ceil((at + 1) * boxes / size) - 1
+
+
+def variant(tile, number: Column, side: int) -> Column:
+    """A tile flipped across (bit 0 of the number), flipped down (bit 1) and inverted (bit 2)."""
+    t = F.col(tile) if isinstance(tile, str) else tile
+    turn = lambda k, on: F.when(on, side - 1 - k).otherwise(k)
+    has = lambda bit: F.shiftright(number.cast("int"), bit).bitwiseAND(1) == 1
+
+    def lane(i: Column) -> Column:
+        v = F.get(t, turn(F.floor(i / side).cast("int"), has(1)) * side + turn(i % side, has(0)))
+        return F.when(has(2), -v).otherwise(v)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lane)
+
+
+def unpacked_note(packed: Column) -> tuple[Column, Column, Column]:
+    """(note, length, run) of a note in 16 bits."""
+    return F.shiftright(packed, 8), F.shiftright(packed, 3).bitwiseAND(31), packed.bitwiseAND(7)
+
+
+def phase_step(note: Column, rate: int) -> Column:
+    """What a 16-bit phase gains with each sample of a note."""
+    return F.floor(pitch_hz(note) * 65536.0 / rate + 0.5).cast("long").bitwiseAND(65535)
+
+
+def strip_at(place: Column, width: int, rows: int) -> tuple[Column, Column]:
+    """(x, y) of a place in strips of `rows` rows: the inverse of strip_place."""
+    inside = place % (width * rows)
+    return F.floor(inside / rows), F.floor(place / (width * rows)) * rows + inside % rows
+
+
+def sampled(tile: Column, x: Column, y: Column, side: int) -> Column:
+    """A tile's value between four pixels; beyond the last line or column these are repeated."""
+    x0, y0 = F.floor(x).cast("int"), F.floor(y).cast("int")
+    x1, y1 = F.least(x0 + 1, F.lit(side - 1)), F.least(y0 + 1, F.lit(side - 1))
+    at = lambda a, b: F.get(tile, b * side + a).cast("double")
+    return lerp(lerp(at(x0, y0), at(x1, y0), x - x0), lerp(at(x0, y1), at(x1, y1), x - x0), y - y0)

@@ -48,27 +48,76 @@ def nearest(tiles: DataFrame, codes: tuple[np.ndarray, np.ndarray], bias: float
     return tiles.where(F.col(tile).isNotNull()).select(key, tile).mapInArrow(run, f"{key} long, code long, dist double")
 
 
+def all_distances(tiles: DataFrame, codes: tuple[np.ndarray, np.ndarray], squared: bool = False, key: str = "vec_id", tile: str = "embedding") -> DataFrame:
+    """(key, dist): each tile's distances to all codes, in their order, from one pass. Null tiles are left out."""
+    _, table = codes
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b[tile].to_pylist(), np.float64).reshape(b.num_rows, -1)
+            d = distances(x, table, squared) if len(x) else np.zeros((0, len(table)))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(table), pa.int32()), pa.array(d.ravel()))
+            yield pa.RecordBatch.from_arrays([b[key].cast(pa.int64()), flat], [key, "dist"])
+
+    return tiles.where(F.col(tile).isNotNull()).select(key, tile).mapInArrow(run, f"{key} long, dist array<double>")
+
+
+def sums(tiles: DataFrame, codes: tuple[np.ndarray, np.ndarray], weight: str | None = None, tile: str = "embedding") -> DataFrame:
+    """(code, n, w, total): of each code, how many tiles are nearest to it, their weight and their weighted sums. A batch
+    gives one row per code, so what is shuffled does not grow with the tiles. Null tiles are left out; without `weight`, or
+    where it is null, a tile counts as one."""
+    ids, table = codes
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b[tile].to_pylist(), np.float64).reshape(b.num_rows, -1)
+            if not len(x):
+                continue
+            w = np.array([1.0 if v is None else v for v in b["w"].to_pylist()], np.float64)
+            best = distances(x, table, True).argmin(axis=1)
+            used = np.unique(best)
+            total = np.zeros((len(ids), x.shape[1]))
+            np.add.at(total, best, x * w[:, None])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * x.shape[1], pa.int32()), pa.array(total[used].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(np.bincount(best, minlength=len(ids))[used]), pa.array(np.bincount(best, w, len(ids))[used]), flat], ["code", "n", "w", "total"])
+
+    rows = tiles.where(F.col(tile).isNotNull()).select(tile, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+    parts = rows.mapInArrow(run, "code long, n long, w double, total array<double>")
+    lanes = [F.sum(F.col("total")[k]).alias(f"v{k}") for k in range(table.shape[1])]
+    out = parts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), *lanes)
+    return out.select("code", "n", "w", F.array(*[f"v{k}" for k in range(table.shape[1])]).alias("total"))
+
+
+def variants(table: np.ndarray, side: int) -> np.ndarray:
+    """The eight variants of each tile, one after the other: bit 0 flips across, bit 1 flips down, bit 2 inverts."""
+    t = table.reshape(-1, side, side)
+    out = [(-1 if k & 4 else 1) * t[:, :: -1 if k & 2 else 1, :: -1 if k & 1 else 1] for k in range(8)]
+    return np.stack(out, axis=1).reshape(-1, side * side)
+
+
 def centroids(assigned: DataFrame, weight: str = "w", tile: str = "embedding") -> DataFrame:
     """(code, lane, mean) of (code, tile, weight): weighted means lane by lane, with partial sums before the shuffle."""
     lanes = assigned.select("code", weight, F.posexplode(tile).alias("lane", "v"))
     return lanes.groupBy("code", "lane").agg((F.sum(F.col("v").cast("double") * F.col(weight)) / F.sum(weight)).alias("mean"))
 
 
-def kmeans(tiles: DataFrame, start: int, end: int, rounds: int, kill: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def kmeans(tiles: DataFrame, start: int, end: int, rounds: int, kill: int = 8, weight: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Codes (ids, tiles) after `rounds` of weighted k-means with pruning.
 
     The start are the `start` tiles of least hashed id. From the second round on at most `kill` of the least used codes go
     per round (one in each of the first two rounds), until `end` are left; an unused code goes first, and one that stays
-    keeps its place. One aggregation per round; only the dictionary is on the driver.
+    keeps its place. A round is one pass over the tiles and a sum of a row per code and batch; only the dictionary is on
+    the driver.
     """
     seeds = tiles.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(start, MOST_CODES))
     ids, table = codebook(seeds)
     for r in range(rounds):
-        a = nearest(tiles, (ids, table)).join(tiles.select("vec_id", "embedding"), "vec_id").withColumn("w", F.lit(1.0))
-        used = {row.code: row.n for row in a.groupBy("code").agg(F.count("*").alias("n")).collect()}
+        used = {}
         place = {int(c): k for k, c in enumerate(ids)}
-        for row in centroids(a).collect():
-            table[place[row.code], row.lane] = row.mean
+        for row in sums(tiles, (ids, table), weight).collect():
+            used[row.code] = row.n
+            if row.w:
+                table[place[row.code]] = np.array(row.total) / row.w
         order = sorted(range(len(ids)), key=lambda k: (used.get(int(ids[k]), 0), -k))
         most = 1 if r < 2 else kill
         gone = set(order[: max(0, min(most, len(ids) - end))])

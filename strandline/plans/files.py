@@ -212,7 +212,7 @@ def packed_bits(spark, sf_dir):
 @query("header_files", f"""WITH {RUNS}, n AS (SELECT symbol, count(*) AS n, CAST(sum(run_len) AS BIGINT) AS rows FROM runs GROUP BY symbol),
     b AS (SELECT symbol, CAST(greatest(0, least(255, floor(n / rows * 257))) AS BIGINT) AS prob, row_number() OVER (ORDER BY symbol) - 1 AS id FROM n),
     p AS (SELECT string_agg(printf('0x%02x', prob), ', ' ORDER BY id) AS bytes, count(*) AS k FROM b)
-    SELECT 0 AS place, '#define SYMBOLS ' || k AS line FROM p UNION ALL SELECT 1, 'static const uint8_t stop_probs[' || k || '] = { ' || bytes || ' };' FROM p
+    SELECT 0 AS place, '#define SYMBOLS ' || k AS line FROM p UNION ALL SELECT 1, 'static const uint8_t stop_probs[' || k || '] = {{ ' || bytes || ' }};' FROM p
     UNION ALL SELECT CAST(2 + id AS INTEGER), '#define SYMBOL_' || upper(symbol) || ' ' || id FROM b""")
 def header_files(spark, sf_dir):
     """A C header with the symbols' numbers and a table of stop chances in 256ths, written as text and read in order."""
@@ -225,8 +225,8 @@ def header_files(spark, sf_dir):
     lines = count.unionByName(table).unionByName(b.select((F.col("id") + 2).cast("int").alias("place"), F.format_string("#define SYMBOL_%s %d", F.upper("symbol"), "id").alias("line")))
     one = lines.orderBy("place").coalesce(1).select("line")
     one.write.text(folder := B.new_folder(spark, "header"))
-    back = spark.read.text(folder, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("place", "line"))
-    return back.select("place", F.rtrim("line").alias("line"))
+    back = spark.read.text(folder, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("place", "line"))
+    return back
 
 
 TICKS = f"(SELECT conv_id, turn, turn * 240 AS on_at, turn * 240 + 30 + 120 * greatest(1, len) AS off_at, note FROM {NOTES})"

@@ -110,13 +110,10 @@ def code_loss(spark, sf_dir):
 @query("code_logits", f"WITH {DIST} SELECT vec_id, code, round(exp(-dist * dist) / sum(exp(-dist * dist)) OVER (PARTITION BY vec_id), 6) AS p FROM d WHERE code < 4")
 def code_logits(spark, sf_dir):
     """Start of a learned sequence: a tile's chances of the first four codes from its squared distances."""
-    ids, table_ = V.codebook(tiles(spark, sf_dir).where("vec_id < 4"))
-    parts = [V.nearest(tiles(spark, sf_dir), (ids[k : k + 1], table_[k : k + 1]), squared=True) for k in range(len(ids))]
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p)
-    e = F.exp(-F.col("dist"))
-    return d.select("vec_id", "code", F.round(e / F.sum(e).over(Window.partitionBy("vec_id")), 6).alias("p"))
+    d = V.all_distances(tiles(spark, sf_dir), V.codebook(tiles(spark, sf_dir).where("vec_id < 4")), squared=True)
+    e = F.transform("dist", lambda x: F.exp(-x))
+    p = d.select("vec_id", e.alias("e"), F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x).alias("s"))
+    return p.select("vec_id", F.posexplode(F.transform("e", lambda x: F.round(x / F.col("s"), 6))).alias("code", "p")).withColumn("code", F.col("code").cast("long"))
 
 
 @query("variant_distance", f"""WITH codes AS (SELECT embedding AS c FROM embeddings WHERE vec_id = 0),
