@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .graph import components
+
 #: Most codes of a dictionary; a dictionary is sent to every task.
 MOST_CODES = 4096
 
@@ -168,16 +171,9 @@ def pruned(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def near_components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, component): what near pairs (a, b) hold together, for all ids (id)."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(ids.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    context = ids.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir("/tmp/checkpoints")
-    near, moved = both.groupBy("a").agg(F.min("b").alias("c")).checkpoint(), True
-    while moved:
-        step = both.join(near.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("c")).checkpoint()
-        moved = step.join(near.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count() > 0
-        near = step
-    return near.select(F.col("a").alias("id"), F.col("c").alias("component"))
+    links = written(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), "near_pairs")
+    found = components(links).select(F.col("node").alias("id"), F.col("label").alias("component"))
+    return ids.select("id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def first_match(masks_: DataFrame, order: list, width: int, cutoff: int) -> DataFrame:

@@ -7,6 +7,7 @@ streams at once, as grouped maps.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -489,10 +490,12 @@ def skips_applied(spark, sf_dir):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows["cost"] = rows[["late_impact", "early_impact"]].min(axis=1)
         rows = rows.sort_values(["cost", "run"])
-        taken, spent, out = [], 0.0, []
+        taken, spent, out = [], 0.0, []  # taken spans don't overlap, so a new one is compared with its neighbours only
         for r in rows.itertuples():
-            if spent + r.cost <= budget and all(r.next_change <= a or b <= r.prev_change for a, b in taken):
-                taken.append((r.prev_change, r.next_change))
+            k = bisect_left(taken, (r.prev_change, r.next_change))
+            free = (k == 0 or taken[k - 1][1] <= r.prev_change) and (k == len(taken) or r.next_change <= taken[k][0])
+            if free and spent + r.cost <= budget:
+                taken.insert(k, (r.prev_change, r.next_change))
                 spent += r.cost
                 out.append(r.Index)
         return rows.loc[out, ["cell", "run", "on_pos", "cost"]]

@@ -12,6 +12,7 @@ from ..operators import quantize as V
 from ..sources import binary as B
 from ..sources import frames as R
 from ..sources import midi as M
+from ..sources.shared import new_path
 from .codecs import NOTES, SKIPS, notes, skips
 from .registry import SQL, query
 from .streams import RUNS, runs, transitions
@@ -53,7 +54,7 @@ def as_pixels(frames: DataFrame) -> DataFrame:
 def gray_frame_files(spark, sf_dir):
     """Tiles written as gray frames without a header, and read as pixels."""
     f = gray_files(spark, sf_dir).select(F.format_string("frames-%d.gray", "file").alias("name"), F.unhex("hex").alias("data"))
-    B.write_files(f, folder := B.new_folder(spark, "gray"))
+    B.write_files(f, folder := new_path(spark, "gray"))
     return as_pixels(R.frames(spark, folder, 8, 8))
 
 
@@ -62,7 +63,7 @@ def headed_frame_files(spark, sf_dir):
     """The same with a line of width and height in front."""
     head = F.hex(F.lit("8 8\n").cast("binary"))
     f = gray_files(spark, sf_dir).select(F.format_string("frames-%d.dat", "file").alias("name"), F.unhex(F.concat(head, "hex")).alias("data"))
-    B.write_files(f, folder := B.new_folder(spark, "headed"))
+    B.write_files(f, folder := new_path(spark, "headed"))
     return as_pixels(R.headed_frames(spark, folder))
 
 
@@ -74,7 +75,7 @@ def tensor_files(spark, sf_dir):
     word = F.transform("embedding", lambda v, k: B.little_endian(F.floor((v.cast("double") + 1) * 100) * 1000 + k))
     t = tiles(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / TOGETHER).alias("file"), F.array_join(word, "").alias("h"))
     f = packed_hex(t, "file", "vec_id", F.col("h")).where(F.col("n") == TOGETHER)
-    B.write_files(f.select(F.format_string("tensor-%d.dat", "file").alias("name"), F.unhex("hex").alias("data")), folder := B.new_folder(spark, "tensor"))
+    B.write_files(f.select(F.format_string("tensor-%d.dat", "file").alias("name"), F.unhex("hex").alias("data")), folder := new_path(spark, "tensor"))
     w = R.words(spark, folder, TOGETHER * 64)
     return w.select(number_in(F.col("path")).alias("file"), F.col("place").cast("long").alias("place"), "value")
 
@@ -90,7 +91,7 @@ def symbol_stream_files(spark, sf_dir):
     a = V.nearest(tiles(spark, sf_dir), codes(spark, sf_dir)).join(tiles(spark, sf_dir).select("vec_id", "label"), "vec_id")
     word = B.little_endian(F.col("code") + F.when(F.col("label") % 2 == 1, 0x800).otherwise(0))
     f = packed_hex(a.withColumn("file", F.floor(F.col("vec_id") / TOGETHER)), "file", "vec_id", word)
-    B.write_files(f.select(F.format_string("stream-%d.dat", "file").alias("name"), F.unhex("hex").alias("data")), folder := B.new_folder(spark, "stream"))
+    B.write_files(f.select(F.format_string("stream-%d.dat", "file").alias("name"), F.unhex("hex").alias("data")), folder := new_path(spark, "stream"))
     s = R.symbols(spark, folder, CELLS).select(number_in(F.col("path")).alias("file"), F.col("frame").cast("long").alias("frame"), F.col("cell").cast("long").alias("cell"), "id", "invert")
     return s.withColumn("highest", F.lit(s.agg(F.max("id")).first()[0]).cast("long"))
 
@@ -102,7 +103,7 @@ def counted_glyph_files(spark, sf_dir):
     m = V.masks(tiles(spark, sf_dir), 64).join(tiles(spark, sf_dir).select("vec_id", "label"), "vec_id")
     f = packed_hex(m, "label", "vec_id", F.lpad(F.conv("mask", 2, 16), 16, "0"))
     f = f.select(F.format_string("glyphs-%d.dat", "label").alias("name"), F.unhex(F.concat(B.little_endian(F.col("n")), "hex")).alias("data"))
-    B.write_files(f, folder := B.new_folder(spark, "glyphs"))
+    B.write_files(f, folder := new_path(spark, "glyphs"))
     r = B.counted_records(spark, folder, 8)
     return r.select(number_in(F.col("path")).alias("file"), "record", F.lpad(F.conv(F.hex("data"), 16, 2), 64, "0").alias("mask"))
 
@@ -118,7 +119,7 @@ def alive_tile_files(spark, sf_dir):
     kept = t.select("vec_id", "embedding").join(F.broadcast(alive), "vec_id").withColumn("id", F.row_number().over(w) - 1)
     data = B.with_float_bytes(kept.select("id", "embedding"), "embedding").select(F.lit(0).alias("file"), "id", F.hex("data").alias("h"))
     f = packed_hex(data, "file", "id", F.col("h")).select(F.lit("tiles-0.dat").alias("name"), F.unhex("hex").alias("data"))
-    B.write_files(f, folder := B.new_folder(spark, "alive"))
+    B.write_files(f, folder := new_path(spark, "alive"))
     v = B.floats(B.records(spark, folder, 256).select("record", "data"), "record")
     return v.select(F.col("record").alias("id"), F.col("place").alias("lane"), F.round(F.col("v").cast("double"), 6).alias("v"))
 
@@ -130,7 +131,7 @@ def sample_files(spark, sf_dir):
     ph = F.col("i") * S.pitch_hz(F.col("note")) / 16000.0
     v = s.groupBy("note").agg(F.array_sort(F.collect_list(F.struct("i", (1 - 4 * F.abs(ph - F.floor(ph) - 0.5)).alias("v")))).alias("s")).select("note", F.col("s.v").alias("v"))
     f = B.with_float_bytes(v, "v").select(F.format_string("note-%d.pcm", "note").alias("name"), "data")
-    B.write_files(f, folder := B.new_folder(spark, "pcm"))
+    B.write_files(f, folder := new_path(spark, "pcm"))
     got = B.floats(B.records(spark, folder, 4 * 64).select(number_in(F.col("path")).alias("note"), "data"), "note")
     return got.select(F.col("note").cast("int").alias("note"), F.col("place").cast("long").alias("i"), F.round(F.col("v").cast("double"), 5).alias("v"))
 
@@ -151,7 +152,7 @@ def tile_grid_files(spark, sf_dir):
             name = [f"grid-{n}-of-{k}.png" for k, n in zip(b["n"].to_pylist(), b["file"].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(data, pa.binary())], ["name", "data"])
 
-    B.write_files(f.mapInArrow(draw, "name string, data binary"), folder := B.new_folder(spark, "grid"))
+    B.write_files(f.mapInArrow(draw, "name string, data binary"), folder := new_path(spark, "grid"))
     g = B.tile_grids(spark, folder)
     part = lambda k: F.regexp_extract("path", r"grid-([0-9]+)-of-([0-9]+)\.png$", k).cast("long")
     g = g.select(part(1).alias("file"), part(2).alias("n"), "tile", F.hex("data").alias("h")).where("tile < n")
@@ -167,7 +168,7 @@ def skip_files(spark, sf_dir):
         F.col("cell").cast("int").alias("tile"), F.col("on_pos").cast("int").alias("on_frame"), zero.alias("changed_from"), zero.alias("changed_to"), F.col("prev_change").cast("int").alias("prev_change"),
         F.col("next_change").cast("int").alias("next_change"), F.when(F.col("run") % 5 != 0, F.round("early_impact", 2)).alias("early_impact"), F.round("late_impact", 2).alias("late_impact"),
     ).select("tile", "on_frame", "changed_from", "changed_to", "prev_change", "next_change", "early_impact", "late_impact")
-    R.write_skips(k, folder := B.new_folder(spark, "skips"))
+    R.write_skips(k, folder := new_path(spark, "skips"))
     return R.skips(spark, folder).drop("changed_from", "changed_to")
 
 
@@ -178,7 +179,7 @@ def transition_csv(spark, sf_dir):
     names = sorted(r.symbol for r in runs(spark, sf_dir).select("symbol").distinct().limit(4096).collect())
     t = transitions(spark, sf_dir).groupBy("to_sym").pivot("from_sym", names).agg(F.sum("n"))
     every = spark.createDataFrame([(n,) for n in names], "to_sym string").join(t, "to_sym", "left").na.fill(0)
-    every.write.option("header", True).csv(folder := B.new_folder(spark, "transitions"))
+    every.write.option("header", True).csv(folder := new_path(spark, "transitions"))
     back = spark.read.option("header", True).schema(", ".join(["to_sym string", *[f"`{n}` long" for n in names]])).csv(folder)
     return back.select("to_sym", F.concat_ws(",", *[F.col(f"`{n}`").cast("string") for n in names]).alias("line"))
 
@@ -187,7 +188,7 @@ def transition_csv(spark, sf_dir):
 def symbol_text_files(spark, sf_dir):
     """Symbols with their runs and rows as lines of text."""
     n = runs(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("run_len").alias("rows"))
-    n.select(F.concat_ws(" ", "symbol", "n", "rows").alias("value")).write.text(folder := B.new_folder(spark, "symbols"))
+    n.select(F.concat_ws(" ", "symbol", "n", "rows").alias("value")).write.text(folder := new_path(spark, "symbols"))
     return spark.read.text(folder).select(F.col("value").alias("line"))
 
 
@@ -224,7 +225,7 @@ def header_files(spark, sf_dir):
     table = t.select(F.lit(1).alias("place"), F.format_string("static const uint8_t stop_probs[%d] = { %s };", "k", "bytes").alias("line"))
     lines = count.unionByName(table).unionByName(b.select((F.col("id") + 2).cast("int").alias("place"), F.format_string("#define SYMBOL_%s %d", F.upper("symbol"), "id").alias("line")))
     one = lines.orderBy("place").coalesce(1).select("line")
-    one.write.text(folder := B.new_folder(spark, "header"))
+    one.write.text(folder := new_path(spark, "header"))
     back = spark.read.text(folder, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("place", "line"))
     return back
 
@@ -244,7 +245,7 @@ def midi_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"name": [f"song-{rows['conv_id'].iloc[0]}.mid"], "data": [data]})
 
     f = n.groupBy("conv_id").applyInPandas(song, "name string, data binary")
-    B.write_files(f, folder := B.new_folder(spark, "songs"))
+    B.write_files(f, folder := new_path(spark, "songs"))
     return M.notes(M.events(spark, folder)).withColumn("conv_id", number_in(F.col("path")))
 
 

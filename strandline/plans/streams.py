@@ -359,7 +359,7 @@ def smoothed_bits(spark, sf_dir):
 
     def smooth(rows):
         rows = rows.sort_values(["ts", "event_id"])
-        rows["smooth"] = rows["value"].ewm(alpha=alpha, adjust=False).mean().round(9)
+        rows["smooth"] = rows["value"].ewm(alpha=alpha, adjust=False).mean().round(6)
         return rows[["event_id", "smooth"]]
 
     return events(spark, sf_dir).select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandas(smooth, "event_id long, smooth double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import posixpath
 import struct
 import uuid
@@ -14,43 +13,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where files go in a session on one machine that names no shared folder, as in tests.
-LOCAL_SHARED = "/tmp/checkpoints"
 #: Bytes of a file that one range has, about; ranges are what tasks share.
 RANGE_BYTES = 8 << 20
 
-_LEFT: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in a local session without it. On
-    a cluster its absence is an error, as every executor would write to a disk of its own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = LOCAL_SHARED
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder's path under the shared one; all of them go at exit."""
-    top = f"{shared_dir(spark)}/strandline-files-{spark.sparkContext.applicationId}"
-    if top not in _LEFT:
-        _LEFT.add(top)
-        atexit.register(_remove, spark, top)
-    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, or of a local path."""
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
