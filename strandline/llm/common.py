@@ -1,20 +1,13 @@
-"""What several corpus operators share: the shared folder, written tables, joins with hot keys and look-ups of few rows."""
+"""What the corpus operators share: their tables and vocabularies, and the library's written tables and joins of groups."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..operators.groups import divided, hot_keys, join_groups, without
+from ..sources.shared import new_path, remove, scratch, shared_dir, written
 
-#: Where tables go in a session on one machine that names no shared folder, as in tests.
-LOCAL_SHARED = "/tmp/checkpoints"
-#: Bits of a screen for each key that it holds, and in all: 16 MB, however many keys there are.
-BITS_A_KEY = 64
-MOST_BITS = 1 << 27
+__all__ = ["divided", "hot_keys", "join_groups", "new_path", "remove", "scratch", "shared_dir", "table", "vocabulary", "without", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,134 +20,3 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of
-    ours, and a cluster an error, as its executors would each write to a disk of their own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = LOCAL_SHARED
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop's file system, so any store works."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _leave(spark: SparkSession) -> None:
-    try:
-        remove(spark, shared_dir(spark))
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
-_REGISTERED: set[str] = set()
-#: Paths of the tables that were written in each open scratch block.
-_SCRATCH: list[list[str]] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes with its scratch block, or with the whole folder at exit."""
-    if (app := spark.sparkContext.applicationId) not in _REGISTERED:
-        _REGISTERED.add(app)
-        atexit.register(_leave, spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing of what was done before."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._strandline_path = path
-    return out
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Tables that are written inside go at the end, but for those (what `written` returned) that are put into the list."""
-    _SCRATCH.append([])
-    kept: list[DataFrame] = []
-    try:
-        yield kept
-    finally:
-        paths, stay = _SCRATCH.pop(), {df._strandline_path for df in kept}
-        for path in paths:
-            if path not in stay:
-                remove(spark, path)
-            elif _SCRATCH:
-                _SCRATCH[-1].append(path)
-
-
-def hot_keys(groups: DataFrame, keys: list[str], size: str, least: int = 1000, most: int = 1000) -> list[int]:
-    """Hashes of the keys of the `most` largest groups of `least` rows or more, `size` being how many rows a group has. No
-    other group has more than a share of 1 / most of all rows."""
-    largest = groups.where(F.col(size) >= least).orderBy(F.desc(size)).limit(most)
-    return [r[0] for r in largest.select(F.xxhash64(*keys)).collect()]
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", hot: list[int] | None = None) -> DataFrame:
-    """rows joined (left or inner) to one group row per key, where `size` is how many rows the key has.
-
-    Hot keys (see hot_keys; they may be given) are known to the driver by a hash, and their groups, a thousand at most, are
-    broadcast. All others meet in a shuffle join. groups should be a written table, as it is read three times; its keys
-    must have the types that they have in rows.
-    """
-    if hot is None:
-        hot = hot_keys(groups, keys, size)
-    if not hot:
-        return rows.join(groups, keys, how)
-    key = F.xxhash64(*keys)
-    met = rows.where(key.isin(hot)).join(F.broadcast(groups.where(key.isin(hot))), keys, how)
-    return met.unionByName(rows.where(~key.isin(hot)).join(groups.where(~key.isin(hot)), keys, how))
-
-
-def divided(rows: DataFrame, key: str, wanted: DataFrame, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(may, can't): the rows whose key may be in the column `key` of wanted, and those whose key can't be; nulls are a key.
-
-    Keys are screened where the rows are read, by bitmaps of their hashes that are at most MOST_BITS large and so are
-    broadcast: few rows with long texts are found among many without a shuffle of all texts. With more keys than the
-    bitmaps can tell apart, more rows may be wanted, and none is lost. wanted should be a written table; the bitmaps are added to kept, the list of a scratch block.
-    """
-    count = wanted.count()
-    bits = min(MOST_BITS, max(1 << 15, 1 << (count * BITS_A_KEY - 1).bit_length() if count else 0))
-    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
-    at = wanted.select(place.alias("at"))
-    maps = at.groupBy(F.bitmap_bucket_number("at").alias("_strandline_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_strandline_bits"))
-    maps = written(maps, "screen")
-    if kept is not None:
-        kept.append(maps)
-    near = rows.withColumn("_strandline_bit", F.bitmap_bit_position(place))
-    near = near.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_strandline_bucket"), "left")
-    byte = F.conv(F.hex(F.substring(F.col("_strandline_bits"), (F.col("_strandline_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    hit: Column = F.coalesce(F.getbit(byte, F.pmod("_strandline_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
-    return near.where(hit).select(*rows.columns), near.where(~hit).select(*rows.columns)
-
-
-def without(documents: DataFrame, gone: DataFrame, mark: Column, kept: list[DataFrame]) -> DataFrame:
-    """documents without the rows named in gone (doc_id, mark, once), a written table; all columns stay.
-
-    mark is an expression over documents that tells apart rows of one doc_id. Of rows that repeat doc_id and mark with
-    `once`, one stays, whichever. Nulls are equal. Only rows whose doc_id may be in gone are shuffled; kept as in `divided`.
-    """
-    columns = documents.columns
-    may, stay = divided(documents, "doc_id", gone, kept)
-    named = gone.select(F.col("doc_id").alias("_strandline_id"), F.col("mark").alias("_strandline_gone"), F.col("once").alias("_strandline_once"))
-    once = named.where("_strandline_once")
-    marked = may.withColumn("_strandline_mark", mark)
-    same = F.col("doc_id").eqNullSafe(F.col("_strandline_id")) & (F.col("_strandline_mark") == F.col("_strandline_gone"))
-    if not once.limit(1).count():
-        return marked.join(named, same, "left_anti").select(*columns).unionByName(stay)
-    out = marked.join(named.where("not _strandline_once"), same, "left_anti")
-    one = out.join(once, same, "left_semi").dropDuplicates(["doc_id", "_strandline_mark"])
-    return out.join(once, same, "left_anti").unionByName(one).select(*columns).unionByName(stay)

@@ -227,4 +227,4 @@ def keep_first(documents: DataFrame) -> DataFrame:
         again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
         gone = common.written(found.groupBy("doc_id", F.col("text_sha256").alias("mark")).agg(F.bool_or(again).alias("once")), "gone")
         kept.append(gone)
-        return common.without(documents, gone, F.sha2(normalised(F.col("text")), 256), kept)
+        return common.without(documents, gone, F.sha2(normalised(F.col("text")), 256))

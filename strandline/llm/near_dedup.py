@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, joined_by
 from . import common
 from .words import chunks, mix, shingles
 
@@ -160,56 +161,6 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): for every node of links (x, y) the least node that it can reach.
-
-    Each round maps every node to its least neighbour (or itself), twice, and contracts the links by that map; the least
-    node of a component always stays, so it is what remains. Rounds are logarithmic in the longest path in practice, each
-    round's tables are written, and nodes with very many links are met by broadcast.
-    """
-    spark = links.sparkSession
-    with common.scratch(spark) as kept:
-        links = common.written(links.where("x <> y").distinct(), "links")
-        labels = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
-        labels = common.written(labels.withColumn("label", F.col("node")), "labels")
-        kept += [links, labels]
-    while links.limit(1).count():
-        with common.scratch(spark) as kept:
-            links, labels = _contracted(links, labels)
-            kept += [links, labels]
-    return labels
-
-
-def joined_by(labels: DataFrame, more: DataFrame) -> DataFrame:
-    """labels (node, label) of components once the links more (x, y) are added. Only components, not nodes, are linked."""
-    at = lambda c: F.coalesce("label", F.col(c)).alias(c)
-    ends = more.join(labels, more["x"] == labels["node"], "left").select(at("x"), "y")
-    ends = ends.join(labels, ends["y"] == labels["node"], "left").select("x", at("y")).where("x <> y")
-    moved = components(ends)
-    sizes = labels.groupBy("label").agg(F.count("*").alias("m"))
-    step = common.written(moved.select(F.col("node").alias("label"), F.col("label").alias("to")).join(sizes, "label", "left"), "moved")
-    old = common.join_groups(labels, step, ["label"], "m").select("node", F.coalesce("to", "label").alias("label"))
-    new = step.where("m is null").select(F.col("label").alias("node"), F.col("to").alias("label"))  # nodes that had no link
-    return common.written(old.unionByName(new), "labels")
-
-
-def _contracted(links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round of `components`: (links between what is left, labels so far)."""
-    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    near = both.groupBy("x").agg(F.min("y").alias("to"), F.count("*").alias("n"))
-    near = common.written(near.withColumn("to", F.least("x", "to")), "near")
-    again = near.select(F.col("x").alias("to"), F.col("to").alias("far"))
-    hop = common.written(near.join(again, "to").select("x", F.col("far").alias("to"), "n"), "hop")
-    hot = common.hot_keys(hop, ["x"], "n")
-    moved = common.join_groups(links, hop, ["x"], "n", hot=hot).select("y", F.col("to").alias("p"))
-    moved = common.join_groups(moved, hop.withColumnRenamed("x", "y"), ["y"], "n", hot=hot).select(F.col("p").alias("x"), F.col("to").alias("y"))
-    counted = labels.groupBy("label").agg(F.count("*").alias("m"))
-    step = hop.where("x <> to").select(F.col("x").alias("label"), "to").join(counted, "label")
-    labels = common.written(common.join_groups(labels, step, ["label"], "m").select("node", F.coalesce("to", "label").alias("label")), "labels")
-    links = common.written(moved.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
-    return links, labels
-
-
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(shared, stars) of classes (node, keys): all (key, node, c) of keys with c > 1 nodes, and (x, y), y the least node of a
     key that x has. One pair for each member of a bucket, however large the bucket is."""
@@ -325,11 +276,10 @@ def linked(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             return common.written(shingle_sets(documents, asked, rule), "sets")
 
         ends = stars.select(F.col("x").alias("node")).unionByName(stars.select(F.col("y").alias("node"))).distinct()
-        links = common.written(verified(stars, sets_of(ends), rule), "verified")
-        labels = components(links)
+        labels = components(verified(stars, sets_of(ends), rule))
         open_rows = unsettled(shared, labels)
         if open_rows.limit(1).count():
-            more = common.written(compared(open_rows, sets_of(open_rows.select("node").distinct()), rule), "more")
+            more = compared(open_rows, sets_of(open_rows.select("node").distinct()), rule)
             labels = joined_by(labels, more)
         known = classes.select("node", "a", "b", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         known = common.written(known, "labelled")
@@ -372,4 +322,4 @@ def keep_first(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
         gone = common.join_groups(ends, first, ["label"], "m").withColumn("once", F.coalesce(F.col("rank").eqNullSafe(F.col("first")) | F.col("first").isNull(), F.lit(True)))
         gone = common.written(gone.where("not once or n > 1").select("doc_id", F.col("h").alias("mark"), "once"), "gone")
         kept.append(gone)
-        return common.without(documents, gone, F.xxhash64("text"), kept)
+        return common.without(documents, gone, F.xxhash64("text"))
