@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .words import tidy
+
 #: Words of more symbols than this take a heap instead of repeated scans.
 SHORT = 128
 #: Ids are below 2 ** BITS. A pair is one number, and so are a rank and the id that its merge makes.
@@ -205,7 +207,7 @@ def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
                 [b["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"]
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digest_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -224,4 +226,4 @@ def digest_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
                 [b["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

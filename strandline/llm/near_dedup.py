@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, joined_by
 from . import common
-from .words import chunks, mix, shingles
+from .words import chunks, mix, shingles, tidy
 
 #: Sets that are compared with as many others in one task, and their bytes; a set of more bytes is a block of its own.
 BLOCK = 512
@@ -109,7 +109,7 @@ def sketch_documents(documents: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), *_set_digests(sets), flat], ["doc_id", "h", "n", "a", "b", "keys"])
 
     rows = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, n long, a long, b long, keys array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, h long, n long, a long, b long, keys array<long>")
 
 
 def shingle_sets(documents: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -125,7 +125,7 @@ def shingle_sets(documents: DataFrame, classes: DataFrame, rule: Rule) -> DataFr
                 yield pa.RecordBatch.from_arrays([*_set_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["a", "b", "items"])
 
     few = common.divided(documents.select("doc_id", "text"), "doc_id", classes)[0]
-    sets = few.select("text").mapInArrow(run, "a long, b long, items binary").groupBy("a", "b").agg(F.first("items").alias("items"))
+    sets = few.select("text").mapInArrow(tidy(run), "a long, b long, items binary").groupBy("a", "b").agg(F.first("items").alias("items"))
     return sets.join(classes.select("a", "b", "node"), ["a", "b"]).select("node", "items")
 
 
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(shared > 0 and 100 * shared >= rule.percent * (len(p) + len(q) - shared))
             yield b.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
 
-    return both.mapInArrow(run, "x long, y long")
+    return both.mapInArrow(tidy(run), "x long, y long")
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .bpe import byte_symbols
+from .words import tidy
 
 LENGTH = 2048
 OPEN_WINDOWS = 64
@@ -155,7 +156,7 @@ def pack(documents: DataFrame, vocabulary: str, length: int = LENGTH, open_windo
     what is open at its end is packed anew with the leftovers of MERGED_TOGETHER partitions, largest piece first. Rows are
     tokenized where they are read, and only leftover pieces (numbers, no ids) are shuffled. Other columns are not read.
     """
-    rows = documents.select("doc_id", "text").mapInArrow(_pieces(vocabulary, length, open_windows, end_id), PIECE)
+    rows = documents.select("doc_id", "text").mapInArrow(tidy(_pieces(vocabulary, length, open_windows, end_id)), PIECE)
     pieces = common.written(rows, "pieces")
     parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
     left = pieces.where("left").withColumn("group", F.floor(F.col("part") / MERGED_TOGETHER).cast("int"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import Texts, chunks, words
+from .words import Texts, chunks, tidy, words
 
 #: Bounds of the training sample: labelled documents, and lines of all of them.
 SAMPLE_ROWS = 3000
@@ -251,7 +251,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most
                         ["doc_id", "quality", "rows", "size"],
                     )
 
-    for r in sorted(sample.mapInArrow(run, "doc_id long, quality int, rows binary, size binary").collect(), key=lambda r: (r.doc_id, r.rows)):
+    for r in sorted(sample.mapInArrow(tidy(run), "doc_id long, quality int, rows binary, size binary").collect(), key=lambda r: (r.doc_id, r.rows)):
         x, size = np.frombuffer(r.rows, "<f4").reshape(-1, FEATURES), np.frombuffer(r.size, "<f8")
         parts.append((x, np.full(len(x), len(parts)), size, np.array([r.quality == 1])))
     if not parts:
@@ -277,7 +277,7 @@ def score_documents(documents: DataFrame, field: LineField | None) -> DataFrame:
                     out.append(sent.scores(*features(t), len(t)))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.concatenate(out), pa.float64())], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -292,5 +292,5 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESH
                 keep.append(np.ones(len(t), bool) if field is None else field.scores(*features(t), len(t)) >= threshold)
             yield b.filter(pa.array(np.concatenate(keep)))
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes that are worked on together; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: The hash's base, odd, and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -44,6 +45,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of batches, after which the worker gives the memory that it no longer uses back to the machine: workers
+    stay for later tasks, and what their arrays took would stay with them."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return wrapped
+
+
 @dataclass
 class Texts:
     """Texts docs[i] = data[offsets[i] : offsets[i + 1]], UTF-8; first: place of the first of them in its batch."""
