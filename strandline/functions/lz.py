@@ -62,7 +62,11 @@ def _read(coder: Decoder, bits: int, slope: int) -> int:
 def encode(seq: Sequence[int], symbol_bits: int = 8) -> tuple[bytes, int]:
     """(bytes, chance of a literal in 256ths): a flag, then a symbol, or a length of 8 bits and a distance of 11, low bits
     first and with chances of 0 that rise with the place. The chance comes from the parse itself."""
-    tokens = parse(seq)
+    return encode_tokens(parse(seq), symbol_bits)
+
+
+def encode_tokens(tokens: list[tuple], symbol_bits: int = 8) -> tuple[bytes, int]:
+    """The same for a sequence that is parsed already."""
     literals = sum(len(t) == 1 for t in tokens)
     p = max(0, min(255, 256 * literals // (len(tokens) + 1)))
     coder = Encoder()

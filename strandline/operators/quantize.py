@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .graph import components
+from .sequence import placed
 
 #: Most codes of a dictionary; a dictionary is sent to every task.
 MOST_CODES = 4096
@@ -188,12 +189,13 @@ def first_match(masks_: DataFrame, order: list, width: int, cutoff: int) -> Data
 
     def run(group):
         group = group.sort_values("_rank")
-        kept: list[tuple[int, str]] = []
+        kept: list[tuple[int, int]] = []
         out = []
         for i, mask in zip(group["id"], group["mask"]):
-            hit = next((k for k, m in kept if sum(x != y for x, y in zip(mask, m)) < cutoff), None)
+            bits = int(mask, 2)
+            hit = next((k for k, m in kept if (bits ^ m).bit_count() < cutoff), None)
             if hit is None:
-                kept.append((i, mask))
+                kept.append((i, bits))
             out.append(i if hit is None else hit)
         return group[["id"]].assign(kept=out)
 
@@ -207,6 +209,33 @@ def greedy_pruned(counts: DataFrame, width: int, cutoff: int) -> DataFrame:
     return counts.select("id", "n").join(kept, "id")
 
 
+def greedy_pruned_moving(counts: DataFrame, width: int, least: int, every: int) -> DataFrame:
+    """(id, n) of counts (id, mask, n) that stay when they are taken by falling n, then rising id, and the k-th goes that
+    differs in fewer than least + k // every places from one that stayed.
+
+    The k-th is only compared with those before it, so pairs that are near by the largest cutoff hold the walk together;
+    it goes component by component.
+    """
+    ranked = placed(counts.withColumn("_fall", -F.col("n")).withColumn("_all", F.lit(0)), ["_all"], ["_fall", "id"], "_k").drop("_fall", "_all")
+    ranked = written(ranked.withColumn("cutoff", least + F.floor((F.col("_k") + 1) / every)), "ranked")
+    most = ranked.agg(F.max("cutoff")).first()[0] or least
+    rows = ranked.join(near_components(near_pairs(ranked.select("id", "mask"), int(most), width), ranked), "id")
+
+    def run(group):
+        group = group.sort_values("_k")
+        kept: list[int] = []
+        stay = []
+        for mask, cutoff in zip(group["mask"], group["cutoff"]):
+            bits = int(mask, 2)
+            free = all((bits ^ other).bit_count() >= cutoff for other in kept)
+            if free:
+                kept.append(bits)
+            stay.append(free)
+        return group[["id", "n"]][stay]
+
+    return rows.select("component", "id", "n", "mask", "cutoff", "_k").groupBy("component").applyInPandas(run, "id long, n long")
+
+
 def least_used(usage: DataFrame, k: int) -> DataFrame:
     """The k least used codes, of equals the larger: what a round of pruning takes away."""
     w = Window.orderBy("n", F.col("code").desc())

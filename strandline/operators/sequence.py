@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..sources.shared import written
 from ..sources.tables import SequenceSpec, stream
+from .groups import join_groups
 
 
 def ordered(spec: SequenceSpec) -> Window:
@@ -82,3 +88,93 @@ def epoch_batches(rows: DataFrame, place: str, size: int, epoch: int) -> DataFra
     inside = Window.partitionBy("range").orderBy("key")
     ranked = order.withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(sizes.select("range", "start")), "range")
     return out.join(ranked.select("chunk", (F.col("start") + F.col("at")).alias("batch")), "chunk")
+
+
+def placed(rows: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """rows with their place, from 0, among those of equal `by`, in the order of `order`, whose last columns must tell rows
+    apart.
+
+    Rows are dealt out in ranges of both and put in order inside a range; a range's rows are numbered where they lie, and
+    from the counts of each `by` and range comes what lies before it. So a group may be as large as the table, and no task
+    has more than a range.
+    """
+    inside = F.monotonically_increasing_id()
+    sorted_ = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    numbered = written(sorted_.withColumns({"_part": F.spark_partition_id(), "_at": inside}), "placed")
+    counts = numbered.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # ranges, not rows
+    counts = written(counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))), "places")
+    met = join_groups(numbered, counts, [*by, "_part"], "_n")
+    return met.withColumn(name, F.col("_start") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_n", "_start")
+
+
+def global_runs(rows: DataFrame, frame: str, order: list[str]) -> DataFrame:
+    """(run, symbol, frame, run_len) of rows (frame, *order, symbol): runs in the order of frame, then order, that go on over
+    the ends of frames; frame is the one that a run starts in.
+
+    Frames are sorted each on its own. What goes on from the frame before is told from a row per frame: its first and last
+    symbol and how many changes it has; these are few, and one task puts them in order.
+    """
+    w = Window.partitionBy(frame).orderBy(*order)
+    s = rows.withColumn("_new", (~F.col("symbol").eqNullSafe(F.lag("symbol").over(w))).cast("long")).withColumn("_in", F.sum("_new").over(w))
+    inner = s.groupBy(frame, "_in").agg(F.min("symbol").alias("symbol"), F.count("*").alias("n"))
+    inner = written(inner, "frame_runs")
+    ends = inner.groupBy(frame).agg(F.max("_in").alias("many"), F.max(F.when(F.col("_in") == 1, F.col("symbol"))).alias("head"), F.max_by("symbol", "_in").alias("tail"))
+    by_frame = Window.orderBy(frame)
+    goes_on = F.coalesce(F.lag("tail").over(by_frame).eqNullSafe(F.col("head")) & F.lag("many").over(by_frame).isNotNull(), F.lit(False)).cast("long")
+    ends = ends.select(frame, "many", goes_on.alias("on"))
+    before = by_frame.rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(frame, (F.coalesce(F.sum(F.col("many") - F.col("on")).over(before), F.lit(0)) - F.col("on")).alias("start"))
+    out = inner.join(starts, frame).groupBy((F.col("start") + F.col("_in")).alias("run"))
+    return out.agg(F.min("symbol").alias("symbol"), F.min(frame).alias(frame), F.sum("n").alias("run_len"))
+
+
+def chosen_runs(runs_: DataFrame, symbols: tuple[str, ...], most: int) -> DataFrame:
+    """(cell, run, symbol, piece, kind, n): runs of the chosen symbols in pieces of at most `most`, kind run, and all other
+    events one by one, kind symbol."""
+    chosen = F.col("symbol").isin(*symbols)
+    pieces = F.when(chosen, F.ceil(F.col("run_len") / most)).otherwise(F.col("run_len"))
+    out = runs_.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    n = F.when(chosen, F.least(F.lit(most), F.col("run_len") - F.col("piece") * most)).otherwise(F.lit(1)).cast("long")
+    return out.select("cell", "run", "symbol", "piece", F.when(chosen, "run").otherwise("symbol").alias("kind"), n.alias("n"))
+
+
+def each_stream(rows: DataFrame, key: str, order: list[str], columns: list[str], code, schema: str) -> DataFrame:
+    """What code(key, lists of the columns in order) returns, rows of `schema` as tuples, for each key.
+
+    Streams are dealt out by key over all tasks, however little data they are, as coding takes more time than bytes; a
+    partition is sorted and its streams are coded one after the other, so a task holds one stream. One stream's rows
+    depend on those before them, so it is one task's work even if it has a third of all rows. Null keys are a key.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*dict.fromkeys([key, *order, *columns])).repartition(parts, key).sortWithinPartitions(key, *order)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)
+
+    def run(batches):
+        now, held, out, begun = None, [[] for _ in columns], [], False
+        for b in batches:
+            keys = b[key].to_pylist()
+            lists = [b[c].to_pylist() for c in columns]
+            at = 0
+            while at < len(keys):
+                # Keys ascend, nulls first.
+                to = bisect_right(keys, keys[at], at) if keys[at] is not None else next((k for k in range(at, len(keys)) if keys[k] is not None), len(keys))
+                if begun and keys[at] != now:
+                    out += code(now, *held)
+                    held = [[] for _ in columns]
+                    if len(out) > 2000:
+                        yield table(out)
+                        out = []
+                now, begun = keys[at], True
+                for h, x in zip(held, lists):
+                    h += x[at:to]
+                at = to
+        if begun:
+            out += code(now, *held)
+        yield table(out)
+
+    return dealt.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import probability_byte
@@ -50,3 +50,24 @@ def lopped_size(elements: int) -> int:
     """Nodes that a probability tree keeps for that many symbols: prefixes that no symbol has are left out."""
     bits = max(1, (elements - 1).bit_length())
     return sum(-(-elements // (1 << (bits - level))) if level else 1 for level in range(bits))
+
+
+def change_bits(runs_: DataFrame, cap: int = 128) -> DataFrame:
+    """(cell, stay_bits, change_bits): -log2 of the chances, summed, that each step of a cell's runs stays or changes as it does,
+    and that what comes is what comes.
+
+    A run's steps cost what its symbol's hazards up to its length sum to, so a run is looked up once by (symbol, length) in
+    a table of at most cap rows a symbol; steps beyond share the last row. The last run of a cell ends without a change.
+    """
+    h = hazard(runs_, cap).select("symbol", "k", (F.col("stop") / F.col("seen")).alias("p"))
+    upto = Window.partitionBy("symbol").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    stay = F.when(F.col("p") < 1, -F.log2(1 - F.col("p"))).otherwise(0.0)
+    table = h.withColumn("stay", stay).select("symbol", "k", "p", "stay", F.coalesce(F.sum("stay").over(upto), F.lit(0.0)).alias("before"))
+    w = Window.partitionBy("cell").orderBy("run")
+    r = runs_.select("cell", "run", "symbol", "run_len", F.lead("symbol").over(w).alias("next"), F.least(F.col("run_len") - 1, F.lit(cap - 1)).alias("k"))
+    moves = r.where("next is not null").groupBy("symbol", "next").agg(F.count("*").alias("n"))
+    moves = moves.withColumn("move", -F.log2(F.col("n") / F.sum("n").over(Window.partitionBy("symbol")))).drop("n")
+    met = r.join(F.broadcast(table), ["symbol", "k"]).join(F.broadcast(moves), ["symbol", "next"], "left")
+    beyond = F.greatest(F.col("run_len") - 1 - F.col("k"), F.lit(0)) * F.col("stay")
+    change = F.when(F.col("next").isNotNull(), -F.log2("p") + F.col("move")).otherwise(0.0)
+    return met.groupBy("cell").agg(F.sum(F.col("before") + beyond).alias("stay_bits"), F.sum(change).alias("change_bits"))

@@ -18,6 +18,7 @@ from ..functions import lz
 from ..functions import rangecoder as R
 from ..operators import sequence as Q
 from ..operators import stats as A
+from ..sources.shared import written
 from ..sources.tables import EVENTS, table
 from .registry import SQL, query
 from .streams import RUNS, changes, events, runs, transitions
@@ -133,22 +134,12 @@ def huffman_roundtrip(spark, sf_dir):
     nodes = H.tree(frequencies(s, "code"))
     codes = H.codes(nodes)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        seq = rows.sort_values("pos")["code"].tolist()
+    def code(cell, seq: list[int]) -> list[tuple]:
         bits = H.encode(seq, codes)
         back = H.decode(H.unpack_lsb(H.pack_lsb(bits, 32)), nodes, len(seq))
-        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "n": [len(seq)], "bits": [len(bits)], "same": [back == seq]})
-
-    return s.groupBy("cell").applyInPandas(run, "cell long, n long, bits long, same boolean")
+        return [(cell, len(seq), len(bits), back == seq)]
 
-
-@query("note_tables", f"""WITH n AS (SELECT * FROM {NOTES}), a AS (SELECT 'note' AS field, CAST(note AS BIGINT) AS v FROM n UNION ALL SELECT 'len', len FROM n UNION ALL SELECT 'run', run FROM n)
-    SELECT field, v, count(*) AS n FROM a GROUP BY field, v""")
-def note_tables(spark, sf_dir):
-    """Frequencies of the three fields of notes."""
-    n = notes(spark, sf_dir)
-    parts = [n.select(F.lit(c).alias("field"), F.col(c).cast("long").alias("v")) for c in ("note", "len", "run")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("field", "v").agg(F.count("*").alias("n"))
+    return Q.each_stream(s, "cell", ["pos"], ["code"], code, "cell long, n long, bits long, same boolean")
 
 
 @query("note_huffman")
@@ -180,23 +171,21 @@ def range_coder_roundtrip(spark, sf_dir):
     bits = max(1, (len(names) - 1).bit_length())
     tree = R.tree_of(frequencies(s, "code"), bits)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        seq = rows.sort_values("pos")["code"].tolist()
+    def code(cell, seq: list[int]) -> list[tuple]:
         coder = R.Encoder()
         for x in seq:
             R.encode_tree(coder, x, bits, tree)
         data = coder.finish()
         back = R.Decoder(data)
-        same = [R.decode_tree(back, bits, tree) for _ in seq] == seq
-        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "n": [len(seq)], "payload": [data], "same": [same]})
+        return [(cell, len(seq), data, [R.decode_tree(back, bits, tree) for _ in seq] == seq)]
 
-    return s.groupBy("cell").applyInPandas(run, "cell long, n long, payload binary, same boolean")
+    return Q.each_stream(s, "cell", ["pos"], ["code"], code, "cell long, n long, payload binary, same boolean")
 
 
-def _hazards(spark, sf_dir, names: list[str]) -> dict[int, list[int]]:
+def _stay_chances(runs_: DataFrame, names: list[str]) -> dict[int, list[int]]:
     """Chance in 256ths that a run goes on, by symbol and how long it has lasted; the last entry holds from there on."""
     out: dict[int, dict[int, int]] = {}
-    for r in A.hazard(runs(spark, sf_dir)).collect():  # at most 128 rows per symbol
+    for r in A.hazard(runs_).collect():  # at most 128 rows per symbol
         out.setdefault(names.index(r.symbol), {})[r.k] = max(0, min(255, 256 - r.prob))
     return {s: [h.get(k, h[max(h)]) for k in range(128)] for s, h in out.items()}
 
@@ -205,14 +194,17 @@ def _hazards(spark, sf_dir, names: list[str]) -> dict[int, list[int]]:
 def change_coder_roundtrip(spark, sf_dir):
     """The current format: for each step one bit, whether the symbol stays, by the hazard of its run; where it does not,
     the new symbol by the tree of the old symbol's class. Each user's stream is read back and compared."""
-    s, names = symbols(spark, sf_dir)
+    r = written(runs(spark, sf_dir), "coded_runs")  # the events are put in order once; all tables come from their runs
+    freq = {row.symbol: row.n for row in r.groupBy("symbol").agg(F.sum("run_len").alias("n")).collect()}
+    names = sorted(freq, key=lambda k: (-freq[k], k))
     bits = max(1, len(names).bit_length())
-    stay = _hazards(spark, sf_dir, names)
+    stay = _stay_chances(r, names)
     trees: dict[int, dict[int, int]] = {}
-    rows = transitions(spark, sf_dir).collect()
+    rows = A.transitions(Q.changes(r)).collect()
     for k, name in enumerate(names):
         trees[k] = R.tree_of({names.index(r.to_sym): r.n for r in rows if r.from_sym == name}, bits)
-    first = R.tree_of(frequencies(s.where("pos = 0"), "code"), bits)
+    first = R.tree_of({names.index(k): n for k, n in frequencies(r.where("run = 1"), "symbol").items()}, bits)
+    number = {name: k for k, name in enumerate(names)}
 
     def walk(n: int, same, new) -> list[int]:
         out, last, run = [], -1, 0
@@ -224,8 +216,8 @@ def change_coder_roundtrip(spark, sf_dir):
             out.append(last)
         return out
 
-    def code(rows: pd.DataFrame) -> pd.DataFrame:
-        seq = rows.sort_values("pos")["code"].tolist()
+    def code(cell, symbols_: list[str], lengths: list[int]) -> list[tuple]:
+        seq = [number[s] for s, n in zip(symbols_, lengths) for _ in range(n)]
         coder = R.Encoder()
         cost = [0.0]
         place = [-1]
@@ -250,45 +242,53 @@ def change_coder_roundtrip(spark, sf_dir):
         data = coder.finish()
         reader = R.Decoder(data)
         back = walk(len(seq), lambda p: reader.bit(p) == 0, lambda tree: R.decode_tree(reader, bits, tree))
-        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "n": [len(seq)], "payload": [data], "run_bits": [round(cost[0], 6)], "same": [back == seq]})
+        return [(cell, len(seq), data, round(cost[0], 6), back == seq)]
 
-    return s.groupBy("cell").applyInPandas(code, "cell long, n long, payload binary, run_bits double, same boolean")
+    return Q.each_stream(r, "cell", ["run"], ["symbol", "run_len"], code, "cell long, n long, payload binary, run_bits double, same boolean")
 
 
 @query("unary_run_roundtrip")
 def unary_run_roundtrip(spark, sf_dir):
     """Run lengths as unary codes with one chance per symbol, read back and compared."""
-    stop = {r.symbol: max(0, min(255, int((1 - r.stop_ratio) * 257 - 1.5))) for r in _stop_ratios(spark, sf_dir).collect()}
+    r = written(runs(spark, sf_dir), "coded_runs")
+    stop = {row.symbol: max(0, min(255, int((1 - row.stop_ratio) * 257 - 1.5))) for row in _stop_ratios(r).collect()}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("run")
+    def code(cell, symbols_: list[str], lengths: list[int]) -> list[tuple]:
         coder = R.Encoder()
-        for symbol, n in zip(rows["symbol"], rows["run_len"]):
+        for symbol, n in zip(symbols_, lengths):
             for _ in range(n - 1):
                 coder.bit(0, stop[symbol])
             coder.bit(1, stop[symbol])
         data, back = coder.finish(), []
         reader = R.Decoder(data)
-        for symbol in rows["symbol"]:
+        for symbol in symbols_:
             n = 1
             while not reader.bit(stop[symbol]):
                 n += 1
             back.append(n)
-        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "n_runs": [len(rows)], "size": [len(data)], "same": [back == rows["run_len"].tolist()]})
+        return [(cell, len(lengths), len(data), back == lengths)]
 
-    return runs(spark, sf_dir).groupBy("cell").applyInPandas(run, "cell long, n_runs long, size long, same boolean")
+    return Q.each_stream(r, "cell", ["run"], ["symbol", "run_len"], code, "cell long, n_runs long, size long, same boolean")
 
 
-def _stop_ratios(spark, sf_dir) -> DataFrame:
-    return runs(spark, sf_dir).groupBy("symbol").agg((F.count("*") / F.sum("run_len")).alias("stop_ratio"))
+def _stop_ratios(runs_: DataFrame) -> DataFrame:
+    return runs_.groupBy("symbol").agg((F.count("*") / F.sum("run_len")).alias("stop_ratio"))
 
 
 @query("tile_pixel_roundtrip")
 def tile_pixel_roundtrip(spark, sf_dir):
-    """Three-level tiles pixel by pixel, high bit by value and place in the run, low bit by a fixed chance."""
+    """Three-level tiles pixel by pixel, high bit by chances of the last high bit and the place in its run, counted over all
+    tiles, low bit by a fixed chance."""
     from .tiles import levels
 
-    high = {(c, k): 128 for c in (0, 1) for k in range(9)}
+    pixels_ = written(levels(spark, sf_dir), "levels")
+    w = Window.partitionBy("vec_id").orderBy("y", "x")
+    bit = pixels_.withColumn("bit", (F.col("level") > 0).cast("int")).withColumn("last", F.coalesce(F.lag("bit").over(w), F.lit(0)))
+    turn = bit.withColumn("turn", F.sum((F.col("bit") != F.col("last")).cast("int")).over(w)).withColumn("before", F.coalesce(F.lag("turn").over(w), F.lit(0)))
+    place = F.count("*").over(Window.partitionBy("vec_id", "before").orderBy("y", "x")) - 1
+    seen = turn.withColumn("k", F.least(F.lit(8), place)).groupBy("last", "k").agg(F.count_if(F.col("bit") == 0).alias("zero"), F.count("*").alias("n"))
+    counted = {(r.last, r.k): max(1, min(255, 257 * r.zero // r.n)) for r in seen.collect()}  # 18 rows at most
+    high = {(c, k): counted.get((c, k), 128) for c in (0, 1) for k in range(9)}
     low = (210, 1)  # fixed values: chance of a 0 low bit after a high bit 0 and 1
 
     def coded(pixels: list[int], put) -> list[int]:
@@ -299,8 +299,8 @@ def tile_pixel_roundtrip(spark, sf_dir):
             last, run = h, run + 1 if h == last else 0
         return out
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pixels = [3 if v == 2 else v for v in rows.sort_values(["y", "x"])["level"]]
+    def code(vec_id, levels_: list[int]) -> list[tuple]:
+        pixels = [3 if v == 2 else v for v in levels_]
         coder = R.Encoder()
 
         def put(k: int, shift: int, p: int) -> int:
@@ -311,9 +311,9 @@ def tile_pixel_roundtrip(spark, sf_dir):
         data = coder.finish()
         reader = R.Decoder(data)
         back = coded(pixels, lambda k, shift, p: reader.bit(p))
-        return pd.DataFrame({"vec_id": [rows["vec_id"].iloc[0]], "size": [len(data)], "same": [back == pixels]})
+        return [(vec_id, len(data), back == pixels)]
 
-    return levels(spark, sf_dir).groupBy("vec_id").applyInPandas(run, "vec_id long, size long, same boolean")
+    return Q.each_stream(pixels_, "vec_id", ["y", "x"], ["level"], code, "vec_id long, size long, same boolean")
 
 
 # ---- LZ ----
@@ -337,15 +337,15 @@ def lz_match_candidates(spark, sf_dir):
 def lzss_roundtrip(spark, sf_dir):
     """Each conversation's packed notes by back-references and the range coder, read back and compared."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn")
-        seq = [int(n) << 8 | int(a) << 3 | int(b) for n, a, b in zip(rows["note"], rows["len"], rows["run"])]
-        data, p = lz.encode(seq, 16)
+    def code(conv_id, note: list[int], length: list[int], step: list[int]) -> list[tuple]:
+        seq = [n << 8 | a << 3 | b for n, a, b in zip(note, length, step)]
         tokens = lz.parse(seq)
+        data, p = lz.encode_tokens(tokens, 16)
         deepest = max([max(t[0] - 1, t[1] - 1) for t in tokens if len(t) == 2], default=0)
-        return pd.DataFrame({"conv_id": [rows["conv_id"].iloc[0]], "n": [len(seq)], "size": [len(data)], "matches": [sum(len(t) == 2 for t in tokens)], "literal_chance": [p], "look_back": [deepest], "same": [lz.decode(data, p, len(seq), 16) == seq]})
+        return [(conv_id, len(seq), len(data), sum(len(t) == 2 for t in tokens), p, deepest, lz.decode(data, p, len(seq), 16) == seq)]
 
-    return notes(spark, sf_dir).groupBy("conv_id").applyInPandas(run, "conv_id long, n long, size long, matches long, literal_chance long, look_back long, same boolean")
+    schema = "conv_id long, n long, size long, matches long, literal_chance long, look_back long, same boolean"
+    return Q.each_stream(notes(spark, sf_dir), "conv_id", ["turn"], ["note", "len", "run"], code, schema)
 
 
 @query("reverse_lzss_roundtrip")
@@ -424,31 +424,26 @@ def simplify_runs(spark, sf_dir):
     order, so that a run that was given up lengthens the one before it, and then the cheapest run that is left."""
     budget = 30.0
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        seq, loss = rows["symbol"].tolist(), rows["value"].tolist()
-        was = list(seq)
-        ends = []
-        k = 0
-        while k < len(seq):
-            end = k
-            while end < len(seq) and seq[end] == seq[k]:
-                end += 1
-            cost = sum(loss[k:end])
-            if k and cost < budget:
-                seq[k:end] = [seq[k - 1]] * (end - k)
-            elif k:
-                ends.append((cost, k, end))
-            k = end
-        if ends:
-            _, k, end = min(ends)
-            seq[k:end] = [seq[k - 1]] * (end - k)
-        return pd.DataFrame({"cell": rows["cell"], "pos": rows["pos"], "symbol": seq, "changed": [a != b for a, b in zip(seq, was)]})
-
-    e = events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", F.coalesce("value", F.lit(0.0)).alias("value"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = e.select(F.col("user_id").alias("cell"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("event_type").alias("symbol"), "value")
-    return s.where("cell is not null and symbol is not null").groupBy("cell").applyInPandas(run, "cell long, pos long, symbol string, changed boolean")
+    def decide(cell, run: list[int], symbol: list[str], loss: list[float], start: list[int], n: list[int]) -> list[tuple]:
+        """(cell, start, n, symbol, was) of each run, in order. A run that is given up lengthens the one before it, and what
+        comes after it with the same symbol as that is still a run of its own."""
+        now, kept = list(symbol), []
+        for k in range(1, len(now)):
+            if loss[k] < budget:
+                now[k] = now[k - 1]
+            else:
+                kept.append((loss[k], k))
+        if kept:
+            k = min(kept)[1]
+            now[k] = now[k - 1]
+        return list(zip([cell] * len(now), start, n, now, symbol))
+
+    e = events(spark, sf_dir).where("user_id is not null and event_type is not null").select("user_id", "ts", "event_id", "event_type", F.coalesce("value", F.lit(0.0)).alias("value"))
+    v = Q.numbered_runs(e, EVENTS).select("cell", "run", "pos", "symbol", "o2").join(e.select(F.col("user_id").alias("cell"), F.col("event_id").alias("o2"), "value"), ["cell", "o2"])
+    r = v.groupBy("cell", "run").agg(F.min("symbol").alias("symbol"), F.sum("value").alias("loss"), F.min("pos").alias("start"), F.count("*").alias("n"))
+    new = Q.each_stream(r, "cell", ["run"], ["run", "symbol", "loss", "start", "n"], decide, "cell long, start long, n long, symbol string, was string")
+    steps = new.select("cell", "symbol", (F.col("symbol") != F.col("was")).alias("changed"), F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
+    return steps.select("cell", "pos", "symbol", "changed")
 
 
 SKIPS = f"""WITH {RUNS}, v AS (SELECT user_id AS cell, row_number() OVER w - 1 AS pos, sum(value) OVER w AS total FROM events WHERE event_type IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -638,8 +633,8 @@ def c_header(spark, sf_dir):
 @query("sorted_notes", f"SELECT conv_id, turn, note, len, row_number() OVER (PARTITION BY note ORDER BY len DESC, conv_id, turn) AS place FROM {NOTES}")
 def sorted_notes(spark, sf_dir):
     """Notes in order of length inside each pitch."""
-    w = Window.partitionBy("note").orderBy(F.desc("len"), "conv_id", "turn")
-    return notes(spark, sf_dir).select("conv_id", "turn", "note", "len", F.row_number().over(w).cast("long").alias("place"))
+    n = Q.placed(notes(spark, sf_dir).withColumn("_fall", -F.col("len")), ["note"], ["_fall", "conv_id", "turn"])
+    return n.select("conv_id", "turn", "note", "len", (F.col("place") + 1).alias("place"))
 
 
 @query("epoch_chunks", """SELECT event_id, CAST((event_id + 7) // 32 AS BIGINT) AS chunk FROM events""")

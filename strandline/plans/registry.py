@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Registers the queries of all plan modules."""
-    from . import codecs, files, pixels, streaming, streams, tiles, twins, variants  # noqa: F401
+    from . import codecs, files, pixels, sequences, streaming, streams, tiles, twins, variants  # noqa: F401
 
 
 load()

@@ -339,8 +339,7 @@ def unified_tokens(spark, sf_dir):
 def token_order(spark, sf_dir):
     """Runs in the order in which a decoder that walks frame by frame meets them, in 16 lanes."""
     r = runs(spark, sf_dir).withColumn("lane", F.col("start_pos") % 16)
-    w = Window.partitionBy("lane").orderBy("start_pos", "cell")
-    return r.select("lane", (F.row_number().over(w) - 1).cast("long").alias("place"), "cell", "symbol", "run_len")
+    return Q.placed(r, ["lane"], ["start_pos", "cell"]).select("lane", "place", "cell", "symbol", "run_len")
 
 
 @query("backtrack_hits", f"""WITH {RUNS} SELECT to_sym, round(avg(CASE WHEN to_sym = before THEN 1.0 ELSE 0.0 END), 9) AS hit
