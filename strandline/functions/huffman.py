@@ -84,6 +84,22 @@ def serialized(nodes: list[tuple], symbols: list[Hashable]) -> list[int]:
     return [half(k, nodes[k][1]) | half(k, nodes[k][2]) << 12 for k in inner]
 
 
+def serialized_bytes(nodes: list[tuple], symbols: list[Hashable]) -> list[int]:
+    """16-bit numbers, one per inner node: in each byte the distance to a child among inner nodes, or 0x80 and the symbol's
+    place in `symbols`; what does not fit in seven bits is an error."""
+    inner = [k for k, n in enumerate(nodes) if n[1] is not None]
+    at, place = {k: i for i, k in enumerate(inner)}, {s: i for i, s in enumerate(symbols)}
+
+    def half(parent: int, child: int) -> int:
+        leaf = nodes[child][1] is None
+        value = place[nodes[child][3]] if leaf else at[child] - at[parent]
+        if not 0 <= value < 128:
+            raise ValueError("a tree of bytes has at most 128 symbols and distances")
+        return 0x80 | value if leaf else value
+
+    return [half(k, nodes[k][1]) | half(k, nodes[k][2]) << 8 for k in inner]
+
+
 def pack_msb(bits: str) -> bytes:
     """Eight bits to a byte, the first in the highest place; the last byte is filled with zeros."""
     bits += "0" * (-len(bits) % 8)

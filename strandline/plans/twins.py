@@ -11,8 +11,8 @@ from .tiles import DIST
 
 def huffman_bits(frequencies: str, name: str) -> str:
     """Tables {name}_m and {name} (bits): the total of a Huffman code for a table of frequencies (n). Merging the two least
-    weights adds their sum, until one is left; a single symbol takes one bit."""
-    return f"""{name}_m AS (SELECT list_sort(list(n)) AS w, CASE WHEN count(*) = 1 THEN sum(n) ELSE 0 END::BIGINT AS bits FROM ({frequencies}) UNION ALL
+    weights adds their sum, until one is left; a single symbol takes no bits."""
+    return f"""{name}_m AS (SELECT list_sort(list(n)) AS w, 0::BIGINT AS bits FROM ({frequencies}) UNION ALL
         SELECT list_sort(list_append(w[3:], w[1] + w[2])), (bits + w[1] + w[2])::BIGINT FROM {name}_m WHERE len(w) > 1),
     {name} AS (SELECT max(bits) AS bits FROM {name}_m)"""
 

@@ -10,7 +10,8 @@ from strandline.functions import huffman as H
 from strandline.operators.stats import lopped_size
 from strandline.sources import frames, midi
 
-COUNTS = dict(enumerate([1, 3, 7, 100, 200, 1, 13, 200, 5, 10000, 0, 900]))
+#: Twenty counts, one of them 0, from a rule.
+COUNTS = {k: (k * k * 17 + 5 * k) % 301 * (k != 11) for k in range(1, 21)}
 
 
 def encoded(bits):
@@ -21,11 +22,26 @@ def encoded(bits):
 
 
 def test_huffman_vector():
-    nodes = H.tree(COUNTS)
-    assert len(nodes) == 21 and H.total_bits(COUNTS) == 13914 and 10 not in H.codes(nodes)
+    nodes, used = H.tree(COUNTS), {k for k, n in COUNTS.items() if n}
+    heap, least = sorted(n for n in COUNTS.values() if n), 0
+    while len(heap) > 1:  # merging the two least weights is optimal
+        least += (two := heap[0] + heap[1])
+        heap = sorted([*heap[2:], two])
+    table = H.codes(nodes)
+    assert set(table) == used and len(nodes) == 2 * len(used) - 1 and H.total_bits(COUNTS) == least == sum(len(c) * COUNTS[k] for k, c in table.items())
+    assert all(a == b or not table[a].startswith(table[b]) for a in table for b in table)
     assert H.total_bits({5: 7}) == 0 and H.decode("", H.tree({5: 7}), 3) == [5, 5, 5] and H.tree({}) == []
-    inner = H.serialized(nodes, sorted(COUNTS))
-    assert len(inner) == 10 and all(0 <= w < 1 << 24 for w in inner)
+    for form, bits, leaf in ((H.serialized, 12, 0x800), (H.serialized_bytes, 8, 0x80)):
+        inner, order = form(nodes, sorted(COUNTS)), sorted(COUNTS)
+        assert len(inner) == len(used) - 1
+        for k, code in table.items():  # following a code through the numbers leads to its symbol
+            at = 0
+            for n, c in enumerate(code):
+                half = inner[at] >> (bits if c == "1" else 0) & ((1 << bits) - 1)
+                if half & leaf:
+                    assert n == len(code) - 1 and order[half & (leaf - 1)] == k
+                else:
+                    at += half
 
 
 def test_range_coder_vectors():
