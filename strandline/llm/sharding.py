@@ -36,12 +36,12 @@ def rendezvous(df: DataFrame, key: str, weights: Sequence[float], new_weight: fl
     """
     if not weights or min(weights) <= 0:
         raise ValueError("weights: one positive number per shard")
-    out = df.drop("shard", "grown_shard").withColumn("_won", winner(F.col(key), weights))
+    out = df.drop("shard", "grown_shard").withColumn("_strandline_won", winner(F.col(key), weights))
     grown = F.lit(None).cast("int")
     if new_weight is not None:
         own = score(F.col(key), len(weights), new_weight)
-        grown = F.when(own > F.col("_won.score"), F.lit(len(weights))).otherwise(F.col("_won.shard"))
-    return out.withColumn("grown_shard", grown.cast("int")).withColumn("shard", F.col("_won.shard").cast("int")).drop("_won")
+        grown = F.when(own > F.col("_strandline_won.score"), F.lit(len(weights))).otherwise(F.col("_strandline_won.shard"))
+    return out.withColumn("grown_shard", grown.cast("int")).withColumn("shard", F.col("_strandline_won.shard").cast("int")).drop("_strandline_won")
 
 
 def with_slots(placed: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -51,13 +51,13 @@ def with_slots(placed: DataFrame, order: Sequence[str]) -> DataFrame:
     where each partition starts in its shard, and rows are numbered inside (shard, partition), so no task ever holds a
     whole shard. Ties of `order` are numbered as they come.
     """
-    rows = common.written(placed.drop("slot").withColumn("_part", F.spark_partition_id()), "shards")
-    by = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    starts = starts.select("shard", "_part", F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_start"))
-    number = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*order)) - 1
-    numbered = rows.withColumn("_number", number).join(starts, ["shard", "_part"])
-    return numbered.withColumn("slot", (F.col("_start") + F.col("_number")).cast("long")).drop("_part", "_start", "_number")
+    rows = common.written(placed.drop("slot").withColumn("_strandline_part", F.spark_partition_id()), "shards")
+    by = Window.partitionBy("shard").orderBy("_strandline_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("shard", "_strandline_part").agg(F.count("*").alias("_strandline_n"))
+    starts = starts.select("shard", "_strandline_part", F.coalesce(F.sum("_strandline_n").over(by), F.lit(0)).alias("_strandline_start"))
+    number = F.row_number().over(Window.partitionBy("shard", "_strandline_part").orderBy(*order)) - 1
+    numbered = rows.withColumn("_strandline_number", number).join(starts, ["shard", "_strandline_part"])
+    return numbered.withColumn("slot", (F.col("_strandline_start") + F.col("_strandline_number")).cast("long")).drop("_strandline_part", "_strandline_start", "_strandline_number")
 
 
 def shard_documents(documents: DataFrame, shards: int = 40, new_weight: float | None = 1.0) -> DataFrame:
