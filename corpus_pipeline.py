@@ -16,27 +16,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier, trained on the labelled ones among docs, does not reject."""
+    """Documents that the line classifier, trained on the labelled ones among docs, does not reject.
+
+    Null and empty texts are one empty line and judged like others; repeated rows are judged alike. Without labels all stay.
+    """
     return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one with the least doc_id."""
+    """Of documents with equal text the one with the least doc_id; nulls come last, null texts are empty ones, and of rows
+    that repeat both one stays."""
     return exact_dedup.keep_first(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by five-word shingles at a similarity of 0.8 the one with the least doc_id."""
+    """Of documents that are linked by five-word shingles at a similarity of 0.8 the one with the least doc_id; nulls come
+    last. Null and empty texts are linked with nothing."""
     return near_dedup.keep_first(docs, near_dedup.Rule(words=5, percent=80))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret in their texts replaced by a mark."""
+    """All documents, with each secret in their texts replaced by a mark; null texts stay null."""
     return secrets.redact_documents(docs, secrets.model_from(docs, common.table(spark, sf_dir, "labels")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of sequences of 2048 ids."""
+    """All documents as pieces of sequences of 2048 ids; null and empty texts are one id, and every row is a document."""
     return packing.pack(docs, common.vocabulary("byte_bpe_50k.json"))
 
 
@@ -53,8 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents in sf_dir."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows for the documents in sf_dir. What a stage wrote is there until the next one has ended."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage_{name}")
+        with common.scratch(spark) as kept:
+            docs = common.written(stage(spark, docs, sf_dir), f"stage_{name}")
+            kept.append(docs)
+        if last:
+            common.remove(spark, last)
+        last = docs._strandline_path
     return STAGES[-1][1](spark, docs, sf_dir)
