@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SHARED = "/tmp/checkpoints"
 #: Files of a written table for each core, at most.
 FILES_A_CORE = 4
+#: Partitions of a result for each core, at most.
+TASKS_A_CORE = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,15 +59,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing of what was done before.
+def gathered(df: DataFrame, per_core: int = TASKS_A_CORE) -> DataFrame:
+    """df in at most per_core partitions for each core, without a shuffle: a task goes through several partitions one after
+    the other, so small tables don't become thousands of tiny files. Where cores come and go as they are asked for, df as
+    it is."""
+    context = df.sparkSession.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return df
+    return df.coalesce(per_core * context.defaultParallelism)
+
 
-    The tasks that write are FILES_A_CORE for each core at most, each going through the partitions of several, so that
-    small tables don't become thousands of tiny files; where cores come and go as they are asked for, all write.
-    """
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing of what was done before. At
+    most FILES_A_CORE tasks a core write it (see `gathered`)."""
     spark = df.sparkSession
-    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
-        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
+    df = gathered(df, FILES_A_CORE)
     df.write.parquet(path := new_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_path = path
