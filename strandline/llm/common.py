@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.groups import divided, hot_keys, join_groups, without
-from ..sources.shared import new_path, remove, scratch, shared_dir, written
+from ..sources.shared import gathered, new_path, remove, scratch, shared_dir, written
 
-__all__ = ["divided", "hot_keys", "join_groups", "new_path", "remove", "scratch", "shared_dir", "table", "vocabulary", "without", "written"]
+__all__ = ["divided", "gathered", "hot_keys", "join_groups", "new_path", "remove", "scratch", "shared_dir", "table", "vocabulary", "without", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -208,7 +208,7 @@ def dedup(documents: DataFrame, cuts: int = 2) -> DataFrame:
         sizes = every.groupBy("_keeper").agg(F.sum("n").alias("group_size"))
         every = common.written(every.join(sizes, "_keeper"), "groups")
         kept.append(every)
-        out = common.join_groups(rows, every, ["batch", "digest"], "n")
+        out = common.gathered(common.join_groups(rows, every, ["batch", "digest"], "n"))
     return out.select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
         (F.col("row") == F.col("_keeper")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),

@@ -270,6 +270,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     )
     rows = with_differences(rows.withColumn("_new", sketch(F.col("new"), BASE_CELLS, 0)), "own", ["new", "next"])
     near = lambda k, other: likeness(F.col("own"), F.col(other), F.size(F.col("_differs")[k]))
+    rows = common.gathered(rows)
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_new")).alias("edited_fingerprint"),
         near(0, "new").alias("near_edited"), near(1, "next").alias("near_next"),

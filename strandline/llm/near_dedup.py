@@ -304,7 +304,7 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     out = common.join_groups(rows.where("n > 0").select("doc_id", "n", "a", "b"), final.drop("label"), ["a", "b"], "copies")
     out = out.select("doc_id", "n", F.col("component")).unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+    return common.gathered(out).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def keep_first(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
