@@ -135,7 +135,7 @@ def four_levels(v: Column) -> Column:
 
 def half_levels(v: Column) -> Column:
     """A value in halves; a tie goes to the even one."""
-    return F.bround(v * 2, 0) / 2
+    return F.bround(v * 2, 0) / 2 + 0.0  # no negative zero
 
 
 def box_of(at: Column, size: int, boxes: int) -> Column:

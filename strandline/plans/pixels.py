@@ -15,7 +15,7 @@ from .variants import SOFT, _soft
 
 
 @query("levels_other", f"""SELECT vec_id, CAST(lane AS INTEGER) AS lane, CAST(greatest(0, least(255, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS INTEGER) >> 6 AS four,
-    round_even((CAST(v AS DOUBLE) + 0.5) * 2, 0) / 2 AS half FROM {LANES}""")
+    round_even((CAST(v AS DOUBLE) + 0.5) * 2, 0) / 2 + 0.0 AS half FROM {LANES}""")
 def levels_other(spark, sf_dir):
     """Values in four levels, and in halves where ties go to the even one."""
     u = F.col("v").cast("double") + 0.5
@@ -95,12 +95,12 @@ def strip_inverse(spark, sf_dir):
 @query("bilinear", """WITH p AS (SELECT vec_id, embedding AS e, CAST(unnest(range(0, 256)) AS INTEGER) AS i FROM embeddings), q AS (SELECT vec_id, e, i % 16 AS px, i // 16 AS py FROM p),
     r AS (SELECT *, px // 2 AS x0, py // 2 AS y0, least(px // 2 + 1, 7) AS x1, least(py // 2 + 1, 7) AS y1, (px % 2) / 2.0 AS fx, (py % 2) / 2.0 AS fy FROM q),
     s AS (SELECT vec_id, px, py, fy, CAST(e[y0 * 8 + x0 + 1] AS DOUBLE) * (1 - fx) + CAST(e[y0 * 8 + x1 + 1] AS DOUBLE) * fx AS a, CAST(e[y1 * 8 + x0 + 1] AS DOUBLE) * (1 - fx) + CAST(e[y1 * 8 + x1 + 1] AS DOUBLE) * fx AS b FROM r)
-    SELECT vec_id, px, py, round(a * (1 - fy) + b * fy, 6) AS v FROM s""")
+    SELECT vec_id, px, py, round(a * (1 - fy) + b * fy, 6) + 0.0 AS v FROM s""")
 def bilinear(spark, sf_dir):
     """Tiles sampled at twice their size between four pixels, edges repeated."""
     p = tiles(spark, sf_dir).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
     p = p.select("vec_id", "embedding", (F.col("i") % 16).alias("px"), F.floor(F.col("i") / 16).cast("int").alias("py"))
-    return p.select("vec_id", "px", "py", F.round(S.sampled(F.col("embedding"), F.col("px") / 2, F.col("py") / 2, 8), 6).alias("v"))
+    return p.select("vec_id", "px", "py", (F.round(S.sampled(F.col("embedding"), F.col("px") / 2, F.col("py") / 2, 8), 6) + 0.0).alias("v"))
 
 
 @query("edge_blend_soft_both", f"""WITH s AS (SELECT *, lane // 8 AS y, lane % 8 AS x FROM ({SOFT.format(source=LANES)})), n AS (SELECT vec_id, y, x, c, coalesce(lag(c) OVER w, c) AS l, coalesce(lead(c) OVER w, c) AS r FROM s WINDOW w AS (PARTITION BY vec_id, y ORDER BY x)),
