@@ -178,3 +178,12 @@ def each_stream(rows: DataFrame, key: str, order: list[str], columns: list[str],
         yield table(out)
 
     return dealt.mapInArrow(run, schema)
+
+
+def merged(runs_: DataFrame) -> DataFrame:
+    """(cell, run, symbol, start_pos, run_len) of runs some of which have got another symbol: neighbours with one symbol are
+    one run again, numbered from 1."""
+    w = Window.partitionBy("cell").orderBy("run")
+    new = (~F.col("symbol").eqNullSafe(F.lag("symbol").over(w))).cast("long")
+    s = runs_.select("cell", "run", "symbol", "start_pos", "run_len", new.alias("_new")).withColumn("_id", F.sum("_new").over(w))
+    return s.groupBy("cell", F.col("_id").alias("run")).agg(F.min("symbol").alias("symbol"), F.min("start_pos").alias("start_pos"), F.sum("run_len").alias("run_len"))

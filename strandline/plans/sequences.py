@@ -3,17 +3,23 @@ dictionaries with moving cutoffs, and what a match decoder needs."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import huffman as H
 from ..functions import scalars as S
 from ..operators import quantize as V
 from ..operators import sequence as Q
 from ..operators import stats as A
-from .registry import query
-from .streams import RUNS, events, runs
+from ..sources.shared import written
+from .codecs import skips
+from .registry import SQL, query
+from .streams import RUNS, escape_buckets, events, lag_line_codes, runs
 from .tiles import coarse
-from .twins import _KEPT
+from .twins import _KEPT, huffman_bits
 
 
 @query("raster_runs_global", """WITH s AS (SELECT ts, event_id, event_type AS symbol, date_trunc('day', ts) AS frame FROM events),
@@ -105,3 +111,94 @@ def match_needs(spark, sf_dir):
 
     m = lzss_roundtrip(spark, sf_dir).agg(F.max("look_back").alias("look_back"), F.sum("matches").alias("matches"))
     return m.select("look_back", "matches", F.length(F.bin("look_back")).alias("bits"))
+
+
+@query("escape_huffman_size", f"""WITH RECURSIVE {RUNS}, n AS (SELECT run_len AS v, count(*) AS n FROM runs GROUP BY run_len),
+    b AS (SELECT CASE WHEN n >= 8 THEN v + 32 ELSE CAST(floor(log2(v)) AS BIGINT) END AS token, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN n >= 8 THEN 0 ELSE n * floor(log2(v)) END) AS BIGINT) AS raw FROM n GROUP BY 1), {huffman_bits("SELECT n FROM b", "h")}
+    SELECT (SELECT bits FROM h) AS code_bits, CAST(sum(raw) AS BIGINT) AS raw_bits, count(*) AS n_tokens FROM b""")
+def escape_huffman_size(spark, sf_dir):
+    """Bits of all run lengths when frequent ones have a Huffman code each and rare ones that of their number of bits, with
+    these behind it."""
+    b = {r.token: r for r in escape_buckets(spark, sf_dir).collect()}  # 32 sizes and at most as many values as occur 8 times
+    sizes = (H.total_bits({k: r.n for k, r in b.items()}), sum(r.raw_bits for r in b.values()), len(b))
+    return spark.createDataFrame([sizes], "code_bits long, raw_bits long, n_tokens long")
+
+
+@query("line_huffman_size", f"""WITH RECURSIVE c AS ({SQL["lag_line_codes"]}), f AS (SELECT code, count(*) AS n FROM c GROUP BY code), {huffman_bits("SELECT n FROM f", "h")}
+    SELECT (SELECT bits FROM h) AS bits, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_codes FROM f""")
+def line_huffman_size(spark, sf_dir):
+    """Bits of all events under a Huffman code of line codes, which name a repeat of one of the two events before."""
+    n = {r.code: r.n for r in lag_line_codes(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n")).collect()}
+    return spark.createDataFrame([(H.total_bits(n), sum(n.values()), len(n))], "bits long, n long, n_codes long")
+
+
+@query("two_tree_roundtrip")
+def two_tree_roundtrip(spark, sf_dir):
+    """Each user's runs as one stream of bits in which a symbol's code is followed by that of its length, from two tables;
+    read back and compared."""
+    r = written(runs(spark, sf_dir), "coded_runs")
+    tables = [{row[0]: row[1] for row in r.groupBy(c).agg(F.count("*").alias("n")).orderBy(c).limit(1 << 16).collect()} for c in ("symbol", "run_len")]
+    trees = [H.tree(t) for t in tables]
+    codes = [H.codes(t) for t in trees]
+
+    def one(bits: str, at: int, nodes: list[tuple]) -> tuple:
+        k = 0  # the root
+        while nodes[k][1] is not None:
+            k, at = nodes[k][2 if bits[at] == "1" else 1], at + 1
+        return nodes[k][3], at
+
+    def code(cell, symbols: list[str], lengths: list[int]) -> list[tuple]:
+        bits = "".join(codes[0][s] + codes[1][n] for s, n in zip(symbols, lengths))
+        packed, back, at = H.unpack_msb(H.pack_msb(bits)), [], 0
+        for _ in symbols:
+            s, at = one(packed, at, trees[0])
+            n, at = one(packed, at, trees[1])
+            back.append((s, n))
+        return [(cell, len(symbols), len(bits), back == list(zip(symbols, lengths)))]
+
+    return Q.each_stream(r, "cell", ["run"], ["symbol", "run_len"], code, "cell long, n_runs long, bits long, same boolean")
+
+
+@query("skips_until_size")
+def skips_until_size(spark, sf_dir):
+    """Skips taken in order of cost, unless their span touches one that was taken, until the stream's estimated size is under
+    nine tenths of what it was: (applied, bits) of the sizes that were measured, the last of which is where it stops.
+
+    Which skips can be taken is decided cell by cell. Sizes are measured at multiples of ten, and as more skips make the
+    stream shorter, the first that is small enough is found by halving: a dozen measurements instead of thousands.
+    """
+    r = written(runs(spark, sf_dir), "coded_runs")
+
+    def free(cell, run: list[int], cost: list[float], early: list[bool], a: list[int], b: list[int]) -> list[tuple]:
+        taken, out = [], []
+        for c, k, e, x, y in sorted(zip(cost, run, early, a, b)):
+            i = bisect_left(taken, (x, y))
+            if (i == 0 or taken[i - 1][1] <= x) and (i == len(taken) or y <= taken[i][0]):
+                taken.insert(i, (x, y))
+                out.append((cell, k, c, e))
+        return out
+
+    k = skips(spark, sf_dir).withColumn("cost", F.least("late_impact", "early_impact")).withColumn("early", F.col("early_impact") < F.col("late_impact"))
+    k = Q.each_stream(k, "cell", ["run"], ["run", "cost", "early", "prev_change", "next_change"], free, "cell long, run long, cost double, early boolean")
+    k = written(Q.placed(k.withColumn("_all", F.lit(0)), ["_all"], ["cost", "cell", "run"]).drop("_all"), "free_skips")
+    w = Window.partitionBy("cell").orderBy("run")
+    known = written(r.withColumns({"was": F.lag("symbol").over(w), "next": F.lead("symbol").over(w)}), "skip_runs")
+    seen: dict[int, float] = {}
+
+    def bits(n: int) -> float:
+        if n not in seen:
+            some = k.where(F.col("place") < n)
+            late = some.where("not early").select("cell", "run", F.lit(True).alias("late"))
+            early = some.where("early").select("cell", (F.col("run") - 1).alias("run"), F.lit(True).alias("early"))
+            now = known.join(late, ["cell", "run"], "left").join(early, ["cell", "run"], "left")
+            symbol = F.when(F.col("late"), F.col("was")).when(F.col("early"), F.col("next")).otherwise(F.col("symbol"))
+            seen[n] = A.change_bits(Q.merged(now.withColumn("symbol", symbol))).agg(F.sum(F.col("stay_bits") + F.col("change_bits"))).first()[0] or 0.0
+        return seen[n]
+
+    target = 0.9 * bits(0)
+    low, high = 0, k.count() // 10
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if bits(10 * middle) < target else (middle + 1, high)
+    bits(10 * low)
+    return spark.createDataFrame([(n, round(b, 3), n == 10 * low) for n, b in sorted(seen.items())], "applied long, bits double, stop boolean")

@@ -161,6 +161,15 @@ def test_skips_do_not_overlap(spark):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_skips_stop_at_the_target(spark):
+    rows = sorted(registry.QUERIES["skips_until_size"](spark, SF).collect(), key=lambda r: r.applied)
+    (stop,) = [r for r in rows if r.stop]
+    target = 0.9 * rows[0].bits
+    assert rows[0].applied == 0 and stop.bits < target and stop.applied % 10 == 0
+    before = [r for r in rows if r.applied == stop.applied - 10]
+    assert before and before[0].bits >= target
+
+
 def test_entry():
     import __spark_entry__ as e
 
