@@ -70,3 +70,21 @@ def animation(frames: list[np.ndarray], palette: list[tuple[int, int, int]], del
         out += packed(f[y : y + bh, x : x + bw].astype(np.uint8).tobytes(), bits)
         before = f
     return bytes(out + b"\x3b")
+
+
+def boxes(data: bytes) -> list[tuple[int, int, int, int]]:
+    """(x, y, width, height) of the frames of a file."""
+    if data[:6] not in (b"GIF89a", b"GIF87a"):
+        raise ValueError("not a GIF file")
+    at = 13 + (3 << (data[10] & 7) + 1 if data[10] & 128 else 0)
+    out = []
+    while data[at] != 0x3B:
+        if data[at] == 0x21:  # an extension: its label, then blocks
+            at += 2
+        else:
+            out.append(tuple(int.from_bytes(data[at + k : at + k + 2], "little") for k in (1, 3, 5, 7)))
+            at += 10 + (3 << (data[at + 9] & 7) + 1 if data[at + 9] & 128 else 0) + 1
+        while data[at]:
+            at += data[at] + 1
+        at += 1
+    return out

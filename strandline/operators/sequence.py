@@ -187,3 +187,17 @@ def merged(runs_: DataFrame) -> DataFrame:
     new = (~F.col("symbol").eqNullSafe(F.lag("symbol").over(w))).cast("long")
     s = runs_.select("cell", "run", "symbol", "start_pos", "run_len", new.alias("_new")).withColumn("_id", F.sum("_new").over(w))
     return s.groupBy("cell", F.col("_id").alias("run")).agg(F.min("symbol").alias("symbol"), F.min("start_pos").alias("start_pos"), F.sum("run_len").alias("run_len"))
+
+
+def single_steps_skipped(runs_: DataFrame) -> DataFrame:
+    """(cell, run, symbol, length): runs that take in the run after them if it has one step and isn't the cell's last; a run
+    that is taken in takes in nothing. So of neighbouring runs of one step every other one goes, from the first that has a
+    run before it."""
+    w, back = Window.partitionBy("cell").orderBy("run"), Window.partitionBy("cell")
+    one = (F.col("run_len") == 1) & (F.col("run") > 1) & (F.col("run") < F.max("run").over(back))
+    s = runs_.select("cell", "run", "symbol", "run_len", one.alias("_one"))
+    s = s.withColumn("_chain", F.sum((~F.col("_one")).cast("long")).over(w))
+    nth = F.sum(F.col("_one").cast("long")).over(Window.partitionBy("cell", "_chain").orderBy("run"))
+    s = s.withColumn("_gone", F.col("_one") & (nth % 2 == 1))
+    s = s.withColumn("length", F.col("run_len") + F.coalesce(F.lead("_gone").over(w).cast("long"), F.lit(0)))
+    return s.where("not _gone").select("cell", "run", "symbol", "length")

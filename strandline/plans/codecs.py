@@ -23,6 +23,8 @@ from ..sources.tables import EVENTS, table
 from .registry import SQL, query
 from .streams import RUNS, changes, events, runs, transitions
 
+#: Most symbols of a code; its table is made on the driver and sent to every task.
+MOST_SYMBOLS = 1 << 16
 NOTES = """(SELECT conv_id, turn, CASE role WHEN 'user' THEN 60 WHEN 'assistant' THEN 64 ELSE 67 END AS note,
     CAST(least(31, length(text) // 64) AS INTEGER) AS len,
     CAST(least(7, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - turn, 0)) AS INTEGER) AS run FROM conversations)"""
@@ -37,8 +39,10 @@ def notes(spark, sf_dir) -> DataFrame:
 
 
 def frequencies(df: DataFrame, *by: str) -> dict:
-    """A frequency table on the driver: one entry per distinct symbol, so as large as the alphabet."""
-    rows = df.groupBy(*by).agg(F.count("*").alias("n")).collect()
+    """A frequency table on the driver: one entry per distinct symbol. More than MOST_SYMBOLS are an error."""
+    rows = df.groupBy(*by).agg(F.count("*").alias("n")).limit(MOST_SYMBOLS + 1).collect()
+    if len(rows) > MOST_SYMBOLS:
+        raise ValueError(f"a code has at most {MOST_SYMBOLS} symbols")
     return {(r[0] if len(by) == 1 else tuple(r[:-1])): r["n"] for r in sorted(rows, key=lambda r: tuple(map(str, r)))}
 
 
@@ -127,6 +131,14 @@ def huffman_tree(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(words)), "place int, word int")
 
 
+@query("huffman_tree_bytes")
+def huffman_tree_bytes(spark, sf_dir):
+    """The tree of the note fields as 16-bit numbers with distances to children."""
+    freq = frequencies(notes(spark, sf_dir), "len")
+    words = H.serialized_bytes(H.tree(freq), sorted(freq))
+    return spark.createDataFrame(list(enumerate(words)), "place int, word int")
+
+
 @query("huffman_roundtrip")
 def huffman_roundtrip(spark, sf_dir):
     """Each user's events coded with one table, packed, read back and compared."""

@@ -5,22 +5,30 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import gif
 from ..functions import huffman as H
 from ..functions import scalars as S
 from ..operators import quantize as V
 from ..operators import sequence as Q
 from ..operators import stats as A
-from ..sources.shared import written
+from ..sources.binary import write_files
+from ..sources.shared import new_path, written
 from .codecs import skips
 from .registry import SQL, query
 from .streams import RUNS, escape_buckets, events, lag_line_codes, runs
-from .tiles import coarse
+from .tiles import LEVELS, coarse, levels
 from .twins import _KEPT, huffman_bits
 
+#: Frames of an animation, and what is told of each.
+GIF_FRAMES = 50
+BOX = pa.schema([("path", pa.string()), *[(c, pa.int64()) for c in ("frame", "x", "y", "width", "height")]])
+
 
 @query("raster_runs_global", """WITH s AS (SELECT ts, event_id, event_type AS symbol, date_trunc('day', ts) AS frame FROM events),
     c AS (SELECT *, CASE WHEN symbol IS DISTINCT FROM lag(symbol) OVER (ORDER BY ts, event_id) THEN 1 ELSE 0 END AS new FROM s),
@@ -202,3 +210,37 @@ def skips_until_size(spark, sf_dir):
         low, high = (low, middle) if bits(10 * middle) < target else (middle + 1, high)
     bits(10 * low)
     return spark.createDataFrame([(n, round(b, 3), n == 10 * low) for n, b in sorted(seen.items())], "applied long, bits double, stop boolean")
+
+
+@query("transition_skip", f"""WITH RECURSIVE {RUNS}, m AS (SELECT cell, max(run) AS last FROM runs GROUP BY cell),
+    e AS (SELECT r.cell, r.run, r.symbol, r.run_len, n.run_len = 1 AND r.run + 1 < m.last AS more FROM runs r JOIN m USING (cell) LEFT JOIN runs n ON n.cell = r.cell AND n.run = r.run + 1),
+    w AS (SELECT * FROM e WHERE run = 1 UNION ALL SELECT e.* FROM w JOIN e ON e.cell = w.cell AND e.run = w.run + CASE WHEN w.more THEN 2 ELSE 1 END)
+    SELECT cell, run, symbol, run_len + CASE WHEN more THEN 1 ELSE 0 END AS length FROM w""")
+def transition_skip(spark, sf_dir):
+    """Runs of which each takes in the one after it if that has a single step and isn't the last; what is taken in takes in
+    nothing."""
+    return Q.single_steps_skipped(runs(spark, sf_dir))
+
+
+@query("gif_files", f"""WITH s AS (SELECT vec_id // {GIF_FRAMES} AS file, vec_id % {GIF_FRAMES} AS frame, vec_id, x, y, level FROM {LEVELS}),
+    c AS (SELECT a.file, a.frame, a.x, a.y, a.level IS DISTINCT FROM b.level AS new FROM s a LEFT JOIN s b ON b.file = a.file AND b.frame = a.frame - 1 AND b.x = a.x AND b.y = a.y)
+    SELECT CAST(file AS BIGINT) AS file, CAST(frame AS BIGINT) AS frame, CAST(coalesce(min(x) FILTER (new), 0) AS BIGINT) AS x, CAST(coalesce(min(y) FILTER (new), 0) AS BIGINT) AS y,
+    CAST(coalesce(max(x) FILTER (new) - min(x) FILTER (new), 0) + 1 AS BIGINT) AS width, CAST(coalesce(max(y) FILTER (new) - min(y) FILTER (new), 0) + 1 AS BIGINT) AS height FROM c GROUP BY file, frame""")
+def gif_files(spark, sf_dir):
+    """Tiles in three levels as animations of fifty frames at most, written to files, and the boxes that the files say have changed."""
+    t = levels(spark, sf_dir).withColumn("file", F.floor(F.col("vec_id") / GIF_FRAMES))
+
+    def draw(file, vec_id: list[int], level: list[int]) -> list[tuple]:
+        frames = np.array(level, np.uint8).reshape(-1, 8, 8)
+        return [(f"tiles-{file}.gif", gif.animation(list(frames), [(0, 0, 0), (128, 128, 128), (255, 255, 255)]))]
+
+    files = Q.each_stream(t, "file", ["vec_id", "y", "x"], ["vec_id", "level"], draw, "name string, data binary")
+    write_files(files, folder := new_path(spark, "gifs"))
+
+    def boxes(batches):
+        for b in batches:
+            rows = [(p, k, *box) for p, data in zip(b["path"].to_pylist(), b["content"]) for k, box in enumerate(gif.boxes(data.as_py()))]
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "frame", "x", "y", "width", "height"), r)) for r in rows], schema=BOX)
+
+    got = spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(boxes, "path string, frame long, x long, y long, width long, height long")
+    return got.select(F.regexp_extract("path", r"([0-9]+)\.gif$", 1).cast("long").alias("file"), "frame", "x", "y", "width", "height")
