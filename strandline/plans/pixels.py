@@ -155,7 +155,7 @@ def log_penalty(spark, sf_dir):
 
 # ---- a first codebook ----
 
-#: Lines of eight pixels that a first codebook is made of.
+# The lines of eight pixels that a first codebook is made of.
 LINES = ("00000000", "00001111", "00111100", "01111000", "00011110", "00110011", "01100110")
 
 

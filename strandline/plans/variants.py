@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import quantize as V
 from ..operators import stats as A
-from ..sources.tables import table
 from .codecs import characters
 from .registry import SQL, query
 from .streams import RUNS, events, runs, transitions
