@@ -19,9 +19,9 @@ SHORT = 128
 #: Ids are below 2 ** BITS. A pair is one number, and so are a rank and the id that its merge makes.
 BITS = 20
 NEVER = 1 << 60
-#: Words that a worker remembers, and characters that one of them has at most; the memory, some 400 MB at most, is emptied
+#: Words that a worker remembers, and characters that one of them has at most; the memory, some 250 MB at most, is emptied
 #: when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 REMEMBERED_LENGTH = 64
 
 # Fixed values of the vocabulary's file format: white space of the normaliser, and the pattern that finds words.
