@@ -14,7 +14,7 @@ from . import common
 from .words import chunks, mix, shingles, tidy
 
 #: Sets that are compared with as many others in one task, and their bytes; a set of more bytes is a block of its own.
-BLOCK = 512
+BLOCK = 256
 BLOCK_BYTES = 4 << 20
 #: Places of an inverted index that are counted at once.
 SLICE = 1 << 20
