@@ -71,6 +71,21 @@ def decode(bits: str, nodes: list[tuple], count: int) -> list[Hashable]:
     return out
 
 
+def group_reader(trees: list[list[tuple]]):
+    """read(bits, at): a symbol of each tree, one after the other, and the place behind them."""
+
+    def read(bits: str, at: int) -> tuple[tuple, int]:
+        out = []
+        for nodes in trees:
+            k = 0
+            while nodes[k][1] is not None:
+                k, at = nodes[k][2 if bits[at] == "1" else 1], at + 1
+            out.append(nodes[k][3])
+        return tuple(out), at
+
+    return read
+
+
 def serialized(nodes: list[tuple], symbols: list[Hashable]) -> list[int]:
     """24-bit numbers, one per inner node: in each half the distance to a child among inner nodes, or 0x800 and the symbol's
     place in `symbols`."""

@@ -139,25 +139,34 @@ def _whole(places: list[tuple[int, int]], s: int, n: int) -> bool:
     return n > 0 or places[s][1] == 0
 
 
+#: Groups that are left where no reference is open.
+NO_END = 1 << 60
+
+
+def pull(bits: str, place: tuple[int, int, list[tuple[int, int]]], read_group) -> tuple[object, tuple[int, int, list[tuple[int, int]]]]:
+    """The next group, and the place after it: (bit, groups that are left of the innermost reference, the places to go on at
+    and groups still to read of the open references around it). A message starts at (0, NO_END, [])."""
+    at, left, stack = place
+    stack = list(stack)
+    while left == 0:
+        at, left = stack.pop()
+    while bits[at] == "1":
+        start = at
+        n, at = _ue(bits, at + 1)
+        back, at = _ue(bits, at)
+        n = min(n, left)
+        stack.append((at, left - n))
+        at, left = start - back, n
+    group, at = read_group(bits, at + 1)
+    return group, (at, left - 1, stack)
+
+
 def reverse_decode(bits: str, count: int, read_group) -> list:
     """`count` groups; read_group(bits, at) gives (group, next place). References are followed with a stack."""
-    out, at = [], 0
-    stack: list[tuple[int, int]] = []  # (place to go on at, groups still to read) of the references that are open
-    left = 1 << 60
-    while len(out) < count:
-        while left == 0:
-            at, left = stack.pop()
-        if bits[at] == "0":
-            group, at = read_group(bits, at + 1)
-            out.append(group)
-            left -= 1
-        else:
-            start = at
-            n, at = _ue(bits, at + 1)
-            back, at = _ue(bits, at)
-            n = min(n, left)
-            stack.append((at, left - n))
-            at, left = start - back, n
+    out, place = [], (0, NO_END, [])
+    for _ in range(count):
+        group, place = pull(bits, place, read_group)
+        out.append(group)
     return out
 
 

@@ -360,32 +360,32 @@ def lzss_roundtrip(spark, sf_dir):
     return Q.each_stream(notes(spark, sf_dir), "conv_id", ["turn"], ["note", "len", "run"], code, schema)
 
 
-@query("reverse_lzss_roundtrip")
-def reverse_lzss_roundtrip(spark, sf_dir):
-    """Each conversation's notes by two Huffman tables, with back-references over the coded bits, read back and compared."""
-    n = notes(spark, sf_dir)
+def note_tables(n: DataFrame) -> tuple[list[list[tuple]], list[dict]]:
+    """(trees, codes) of the two tables of notes: notes, and lengths with steps."""
     trees = [H.tree(frequencies(n, "note")), H.tree(frequencies(n.withColumn("v", F.col("len") * 8 + F.col("run")), "v"))]
-    codes = [H.codes(t) for t in trees]
+    return trees, [H.codes(t) for t in trees]
 
-    def one(bits: str, at: int, nodes: list[tuple]):
-        k = 0
-        while nodes[k][1] is not None:
-            k = nodes[k][2] if bits[at] == "1" else nodes[k][1]
-            at += 1
-        return nodes[k][3], at
 
-    def group(bits: str, at: int):
-        a, at = one(bits, at, trees[0])
-        b, at = one(bits, at, trees[1])
-        return (a, b), at
+def coded_notes(n: DataFrame, codes: list[dict], check=None) -> DataFrame:
+    """(conv_id, n, bits, same): notes by two tables with back-references over the coded bits; check(bits, notes) says whether
+    they can be read back."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn")
-        seq = [(int(a), int(b) * 8 + int(c)) for a, b, c in zip(rows["note"], rows["len"], rows["run"])]
+    def code(conv_id, note: list[int], length: list[int], step: list[int]) -> list[tuple]:
+        seq = [(a, b * 8 + c) for a, b, c in zip(note, length, step)]
         bits = lz.reverse_encode([codes[0][a] + codes[1][b] for a, b in seq])
-        return pd.DataFrame({"conv_id": [rows["conv_id"].iloc[0]], "n": [len(seq)], "bits": [len(bits)], "same": [lz.reverse_decode(bits, len(seq), group) == seq]})
+        return [(conv_id, len(seq), bits, check is None or check(bits, seq))]
 
-    return n.groupBy("conv_id").applyInPandas(run, "conv_id long, n long, bits long, same boolean")
+    return Q.each_stream(n, "conv_id", ["turn"], ["note", "len", "run"], code, "conv_id long, n long, bits string, same boolean")
+
+
+@query("reverse_lzss_roundtrip")
+def reverse_lzss_roundtrip(spark, sf_dir):
+    """Each conversation's notes by two Huffman tables, with back-references over the coded bits, read back and compared."""
+    n = notes(spark, sf_dir)
+    trees, codes = note_tables(n)
+    group = H.group_reader(trees)
+    done = coded_notes(n, codes, lambda bits, seq: lz.reverse_decode(bits, len(seq), group) == seq)
+    return done.select("conv_id", "n", F.length("bits").cast("long").alias("bits"), "same")
 
 
 @query("lz_bit_stats")
