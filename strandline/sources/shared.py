@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Where tables go in a session on one machine that names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 #: Files of a written table for each core, at most.
-FILES_A_CORE = 4
+FILES_A_CORE = 2
 #: Partitions of a result for each core, at most.
-TASKS_A_CORE = 8
+TASKS_A_CORE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
