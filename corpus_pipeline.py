@@ -20,29 +20,29 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts are one empty line and judged like others; repeated rows are judged alike. Without labels all stay.
     """
-    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+    return common.gathered(quality.keep_good(docs, common.table(spark, sf_dir, "labels")))
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text the one with the least doc_id; nulls come last, null texts are empty ones, and of rows
     that repeat both one stays."""
-    return exact_dedup.keep_first(docs)
+    return common.gathered(exact_dedup.keep_first(docs))
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked by five-word shingles at a similarity of 0.8 the one with the least doc_id; nulls come
     last. Null and empty texts are linked with nothing."""
-    return near_dedup.keep_first(docs, near_dedup.Rule(words=5, percent=80))
+    return common.gathered(near_dedup.keep_first(docs, near_dedup.Rule(words=5, percent=80)))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret in their texts replaced by a mark; null texts stay null."""
-    return secrets.redact_documents(docs, secrets.model_from(docs, common.table(spark, sf_dir, "labels")))
+    return common.gathered(secrets.redact_documents(docs, secrets.model_from(docs, common.table(spark, sf_dir, "labels"))))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 2048 ids; null and empty texts are one id, and every row is a document."""
-    return packing.pack(docs, common.vocabulary("byte_bpe_50k.json"))
+    return common.gathered(packing.pack(docs, common.vocabulary("byte_bpe_50k.json")))
 
 
 STAGES: list[tuple[str, Stage]] = [
