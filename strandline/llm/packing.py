@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +107,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pieces(vocabulary: str, length: int, most: int, end_id: int):
     def run(batches):
-        tokenizer, space, part = loaded(vocabulary), Windows(length, most), TaskContext.get().partitionId()
+        tokenizer, space, part = loaded(vocabulary), Windows(length, most), 0
         end = np.array([end_id], np.uint32)
         waiting: dict[int, list[tuple]] = {}  # pieces of open windows
 
@@ -122,6 +121,8 @@ def _pieces(vocabulary: str, length: int, most: int, end_id: int):
             )
 
         for b in batches:
+            if b.num_rows:
+                part = b["part"][0].as_py()
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"]):
                 ids = np.concatenate([tokenizer.ids(text.as_py() or ""), end])
                 for start, size in cut(len(ids), length):
@@ -156,7 +157,9 @@ def pack(documents: DataFrame, vocabulary: str, length: int = LENGTH, open_windo
     what is open at its end is packed anew with the leftovers of MERGED_TOGETHER partitions, largest piece first. Rows are
     tokenized where they are read, and only leftover pieces (numbers, no ids) are shuffled. Other columns are not read.
     """
-    rows = documents.select("doc_id", "text").mapInArrow(tidy(_pieces(vocabulary, length, open_windows, end_id)), PIECE)
+    # A task may go through several partitions: their numbers come with their rows, not from the task.
+    numbered = documents.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    rows = numbered.mapInArrow(tidy(_pieces(vocabulary, length, open_windows, end_id)), PIECE)
     pieces = common.written(rows, "pieces")
     parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
     left = pieces.where("left").withColumn("group", F.floor(F.col("part") / MERGED_TOGETHER).cast("int"))

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,10 +169,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     known = revisits(common.written(rows.select("page_id", "sha1", "size"), "page_keys"), least_bytes)
     known = known.select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "refers_to")
     whole = rows.join(known, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")), "left")
-    source = whole.select("page_id", "url", "sha1", "size", F.when(F.col("refers_to").isNull(), F.col("body")).alias("payload"), "refers_to")
+    source = whole.select("page_id", "url", "sha1", "size", F.when(F.col("refers_to").isNull(), F.col("body")).alias("payload"), "refers_to", F.spark_partition_id().alias("part"))
 
     def run(batches):
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, held, size = 0, 0, [], 0  # a task may go through several partitions, whose numbers come with their rows
 
         def close() -> pa.RecordBatch:
             write_archive(path := f"{folder}/pages-{part:06d}-{number:05d}.warc.zst", held)
@@ -181,7 +180,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
 
         for b in batches:
             for i in range(b.num_rows):
-                page_id, url, sha1, n, raw, refers_to = (c[i].as_py() for c in b.columns)
+                page_id, url, sha1, n, raw, refers_to, part = (c[i].as_py() for c in b.columns)
                 held.append(Record(page_id, url, sha1, n, raw, refers_to).to_bytes())
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:

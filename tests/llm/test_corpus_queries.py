@@ -117,3 +117,28 @@ def test_rows_without_id_or_of_one_id_are_linked(spark):
     assert got - {5, 8} == {3, 4, 6, 7} and len(got & {5, 8}) == 1
     nulls = spark.createDataFrame([r for r in rows if r[0] is None], "doc_id long, text string, row long")
     assert len({1, 2} & {r.row for r in near_dedup.keep_first(nulls, near_dedup.Rule(3, 80)).collect()}) == 1
+
+
+def test_many_partitions_in_few_tasks(spark, documents):
+    """Written tables have fewer files than there are partitions here; partitions keep apart."""
+    path = common.vocabulary("byte_bpe_50k.json")
+    spread = documents.select("doc_id", "text").repartition(40)
+    pieces = packing.pack(spread, path, length=256, open_windows=2).collect()
+    places = {}
+    for p in pieces:
+        places.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for spans in places.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= 256
+    pages = spark.range(300).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat('<p>', id, '</p>') AS html").repartition(40)
+    got = warc.read(warc.write(pages, warc.default_folder(spark))).collect()
+    assert sorted(r.page_id for r in got) == list(range(300))
+    from strandline.llm import sharding
+
+    slots = {}
+    for r in sharding.shard_documents(spread, 5).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
