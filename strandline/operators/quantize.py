@@ -211,29 +211,29 @@ def greedy_pruned(counts: DataFrame, width: int, cutoff: int) -> DataFrame:
 
 def greedy_pruned_moving(counts: DataFrame, width: int, least: int, every: int) -> DataFrame:
     """(id, n) of counts (id, mask, n) that stay when they are taken by falling n, then rising id, and the k-th goes that
-    differs in fewer than least + k // every places from one that stayed.
+    differs in fewer than least + k // every places from one that stayed. A null mask has a place, differs from none and stays.
 
-    The k-th is only compared with those before it, so pairs that are near by the largest cutoff hold the walk together;
-    it goes component by component.
+    The first mask always stays and no two differ in more than width places, so all whose cutoff is larger go without being
+    compared. What is walked are the first (width - least + 1) * every - 1, whatever the number of masks; each depends on all
+    before it, so that is one task's work, and at most half their square of comparisons.
     """
-    ranked = placed(counts.withColumn("_fall", -F.col("n")).withColumn("_all", F.lit(0)), ["_all"], ["_fall", "id"], "_k").drop("_fall", "_all")
-    ranked = written(ranked.withColumn("cutoff", least + F.floor((F.col("_k") + 1) / every)), "ranked")
-    most = ranked.agg(F.max("cutoff")).first()[0] or least
-    rows = ranked.join(near_components(near_pairs(ranked.select("id", "mask"), int(most), width), ranked), "id")
+    ranked = placed(counts.withColumn("_fall", -F.col("n")).withColumn("_all", F.lit(0)), ["_all"], ["_fall", "id"], "_k")
+    walked = max((width - least + 1) * every - 1, 2)  # two have a mask between them, as one at most is null
+    head = ranked.where((F.col("_k") < walked) | F.col("mask").isNull()).withColumn("cutoff", least + F.floor((F.col("_k") + 1) / every))
 
-    def run(group):
-        group = group.sort_values("_k")
+    def run(batches):
         kept: list[int] = []
-        stay = []
-        for mask, cutoff in zip(group["mask"], group["cutoff"]):
-            bits = int(mask, 2)
-            free = all((bits ^ other).bit_count() >= cutoff for other in kept)
-            if free:
-                kept.append(bits)
-            stay.append(free)
-        return group[["id", "n"]][stay]
-
-    return rows.select("component", "id", "n", "mask", "cutoff", "_k").groupBy("component").applyInPandas(run, "id long, n long")
+        for b in batches:
+            stay = []
+            for mask, cutoff in zip(b["mask"].to_pylist(), b["cutoff"].to_pylist()):
+                bits = None if mask is None else int(mask or "0", 2)
+                free = bits is None or all((bits ^ other).bit_count() >= cutoff for other in kept)
+                if free and bits is not None:
+                    kept.append(bits)
+                stay.append(free)
+            yield b.select(["id", "n"]).filter(pa.array(stay, pa.bool_()))
+
+    return head.select("id", "n", "mask", "cutoff", "_k").repartition(1).sortWithinPartitions("_k").mapInArrow(run, "id long, n long")
 
 
 def least_used(usage: DataFrame, k: int) -> DataFrame:

@@ -106,6 +106,49 @@ def test_greedy_pruning_keeps_what_is_far_apart(spark):
     assert kept == set(want)
 
 
+def test_moving_pruning_of_many_masks(spark, tmp_path):
+    """More masks than can stay by their rank, where all pairs are near by the last cutoff; stopped if it takes a minute."""
+    import threading
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(11)
+    x = rng.choice((-0.5, 0.5), (8000, 64))
+    x[7000:] = x[rng.integers(0, 50, 1000)] * np.where(rng.random((1000, 64)) < 0.01, -1, 1)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)))}), tmp_path / "embeddings.parquet")
+    bits = [int("".join("01"[int(v > 0)] for v in t), 2) for t in x]
+    n, first = {}, {}
+    for k, b in enumerate(bits):
+        n[b] = n.get(b, 0) + 1
+        first.setdefault(b, k)
+    kept = []
+    for k, b in enumerate(sorted(n, key=lambda b: (-n[b], first[b])), 1):
+        if all((b ^ o).bit_count() >= 2 + k // 100 for o in kept):
+            kept.append(b)
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = registry.QUERIES["hamming_prune_moving"](spark, str(tmp_path)).collect()
+    finally:
+        late.cancel()
+    assert len(n) > 6300 and sorted((r.id, r.n) for r in got) == sorted((first[b], n[b]) for b in kept)
+
+
+@pytest.mark.parametrize("tiles", ["SELECT * FROM embeddings", "SELECT vec_id, CASE WHEN vec_id % 9 > 0 THEN embedding END AS embedding FROM embeddings", "SELECT vec_id, CASE WHEN vec_id < 499 THEN embedding END AS embedding FROM embeddings", "SELECT * FROM embeddings WHERE false"])
+@pytest.mark.parametrize("least, every", [(2, 100), (40, 3), (70, 1)])
+def test_moving_pruning_with_null_tiles(spark, duck, tmp_path, tiles, least, every):
+    """Against the SQL, with cutoffs below, up to and over the lanes of a tile; a null tile has a place, and nothing is near it."""
+    from strandline.operators import quantize
+    from strandline.plans.tiles import coarse
+
+    duck.execute(f"COPY ({tiles}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    sql = registry.SQL["hamming_prune_moving"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet'").replace("2 + o.k // 100", f"{least} + o.k // {every}")
+    got = quantize.greedy_pruned_moving(coarse(spark, str(tmp_path)), 64, least, every).collect()
+    assert sorted((r.id, r.n) for r in got) == sorted(duck.execute(sql).fetchall())
+
+
 def test_tiles_are_compared_in_all_lanes(spark, tmp_path):
     """Tiles that agree in the first quarter: a copy, near ones and far ones, against brute force."""
     import random
